@@ -74,9 +74,9 @@ def blocks(column, size: int = BLOCK):
         i = j
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a block, and each document's first word (n + 1 entries)."""
-    word = ~SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block (space: which bytes end one), and each document's first word (n + 1 entries)."""
+    word = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offs] = True
     start, end = word.copy(), word.copy()

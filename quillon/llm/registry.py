@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup, minhash, mixing
+from . import decontaminate, linededup, minhash, mixing, pii, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op3_minhash": minhash.op3_minhash,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_lines": linededup.op6_lines,
+        "op7_leaks": decontaminate.op7_leaks,
         "op10_mix": mixing.op10_mix,
     }
 
