@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, minhash, mixing, pii, toxicity
+from . import decontaminate, html, linededup, minhash, mixing, pii, quality, toxicity
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_pii": pii.op1_pii,
         "op3_minhash": minhash.op3_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_html": html.op5_html,
         "op6_lines": linededup.op6_lines,
         "op7_leaks": decontaminate.op7_leaks,
+        "op8_quality": quality.op8_quality,
         "op10_mix": mixing.op10_mix,
     }
 

@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased runs of letters (ASCII letters and all bytes from 128), and their first five
-and seven bytes, hashed to 2^20 buckets. The machine is fitted on at most SAMPLE labelled rows
+Terms are lower-cased runs of letters (ASCII letters and all bytes from 128), and their first four,
+five and six bytes, hashed to 2^20 buckets. The machine is fitted on at most SAMPLE labelled rows
 (those of the least hashes of doc_id; crc32(doc_id) mod 5 of 0 is held out) with the TERMS buckets
 that tell the classes apart best, as present or absent: a bias, a weight per term and FACTORS
 latent factors, whose products weigh each pair of terms. Trained in numpy by Adam, with a fixed
@@ -37,7 +37,7 @@ def _terms(text):
         starts, ends, first = _text.words(data, offs, OTHER)
         doc = np.repeat(np.arange(j - i), np.diff(first))
         parts = [(doc, _text.hashes(data, starts, ends))]
-        for size in (5, 7):
+        for size in (4, 5, 6):
             longer = ends - starts > size
             s = starts[longer]
             parts.append((doc[longer], _text.mix(_text.hashes(data, s, s + size) + np.uint64(size))))
