@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, linededup, minhash, mixing, pii, quality, toxicity
+from . import decontaminate, html, linededup, lm, minhash, mixing, pii, quality, suffixdedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_lm": lm.op2_lm,
         "op3_minhash": minhash.op3_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_html": html.op5_html,
         "op6_lines": linededup.op6_lines,
         "op7_leaks": decontaminate.op7_leaks,
         "op8_quality": quality.op8_quality,
+        "op9_repeats": suffixdedup.op9_repeats,
         "op10_mix": mixing.op10_mix,
     }
 
