@@ -47,7 +47,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     x = x.withColumn("budget", F.sum("source_size").over(everything) * F.lit(BUDGET))
     x = x.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     x = x.withColumn("level", F.expr("(budget - capped) / open"))
-    x = x.withColumn("level", F.min(F.expr("CASE WHEN level <= ratio THEN level END")).over(everything))
+    x = x.withColumn("level", F.max(F.expr("CASE WHEN level <= ratio THEN level END")).over(everything))
     return x.select("_source", "source_size", F.expr("least(cap, coalesce(level * weight, cap))").alias("target"))
 
 
@@ -110,7 +110,7 @@ WITH d AS (
   SELECT *, (budget - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY cap / weight, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM l
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target FROM l
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t
 ), c AS (
