@@ -3,7 +3,7 @@
 Terms are lower-cased runs of letters (ASCII letters and all bytes from 128), and their first four,
 five and six bytes, hashed to 2^20 buckets. The machine is fitted on at most SAMPLE labelled rows
 (those of the least hashes of doc_id; crc32(doc_id) mod 5 of 0 is held out) with the TERMS buckets
-that tell the classes apart best, as present or absent: a bias, a weight per term and FACTORS
+that tell the classes apart best (a z-score of LEAST_Z at least), as present or absent: a bias, a weight per term and FACTORS
 latent factors, whose products weigh each pair of terms. Trained in numpy by Adam, with a fixed
 seed, on the logistic loss. Scoring is one pass over whole texts with the fitted table.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _text
 from ._shared import Table, read
 
-BUCKETS, TERMS, FACTORS, SAMPLE, EPOCHS, BATCH, RATE, SHRINK = 1 << 20, 1024, 8, 16_000, 30, 256, 0.02, 2e-4
+BUCKETS, TERMS, FACTORS, SAMPLE, EPOCHS, BATCH, RATE, SHRINK, LEAST_Z = 1 << 20, 1024, 8, 16_000, 30, 256, 0.02, 2e-4, 3.0
 OTHER = np.ones(256, dtype=bool)
 OTHER[97:123] = False
 OTHER[128:] = False
@@ -87,7 +87,7 @@ def fit(rows: list[tuple[int, bytes]]) -> Machine:
     z = np.abs(a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m))
     z[a + b < 3] = 0
     top = np.argsort(-z, kind="stable")[:TERMS]
-    top = top[z[top] > 0]
+    top = top[z[top] > LEAST_Z]
     column[top] = np.arange(len(top))
     x = np.zeros((len(y), TERMS), dtype=np.float32)
     for i, s in enumerate(sets):
