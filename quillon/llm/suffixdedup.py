@@ -28,7 +28,7 @@ from . import _text
 from ._shared import Table, read
 from .induced import Induction
 
-LENGTH, K, BLOCK, SHARD = 400, 64, 1 << 18, 8 << 20
+LENGTH, K, BLOCK, SHARD = 400, 64, 1 << 18, 2 << 20
 
 
 def _stretches(data: np.ndarray, offs: np.ndarray, length: int, k: int):
