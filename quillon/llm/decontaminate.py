@@ -65,10 +65,11 @@ class Items:
             mine = [i for i in left if self.lengths[i] <= size * 1.1][:64]
             left = [i for i in left if i not in set(mine)]
             prints = np.array([_prints(_sums(data[i][1][:size]), np.array([0]), np.array([size - 1]))[0] for i in mine], dtype=np.uint64)
-            tables = [np.zeros(1 << 16, dtype=np.uint64) for _ in range(BLOCKS)]
+            mask = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(mine) <= np.iinfo(t).bits)  # small tables stay in cache
+            tables = [np.zeros(1 << 16, dtype=mask) for _ in range(BLOCKS)]
             for no, p in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS)):
                 for t, block in zip(tables, p, strict=True):
-                    t[_NEAR ^ block] |= np.uint64(1 << no)
+                    t[_NEAR ^ block] |= mask(1 << no)
             self.classes.append((size, mine, prints, tables))
 
     @staticmethod
@@ -91,20 +92,24 @@ class Items:
                 if n <= 0 or size < 2:
                     continue
                 self._hits(_prints(sums, slice(0, n), slice(size - 1, size - 1 + n)), np.flatnonzero(here[:n] == here[size - 1 : size - 1 + n]), at, mine, prints, tables, found)
+        n, whole = np.diff(first), {}
         for size, mine, prints, tables in self.classes:  # documents shorter than a class are one window
-            n = np.diff(first)
             few = np.flatnonzero((n < size) & (n >= 2) & (n * DEN >= size * (NUM - 10)) | ((n == 1) & (size == 1)))
             for d in few:
-                self._hits(_prints(_sums(h[first[d] : first[d + 1]]), np.array([0]), np.array([n[d] - 1])), np.array([0]), int(first[d]), mine, prints, tables, found)
+                if d not in whole:
+                    whole[d] = _prints(_sums(h[first[d] : first[d + 1]]), np.array([0]), np.array([n[d] - 1]))
+                self._hits(whole[d], np.array([0]), int(first[d]), mine, prints, tables, found)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        cache: dict[int, np.ndarray] = {}
-        for s, i in found:
-            d = int(doc[s])
-            if d not in cache:
-                cache = {d: h[first[d] : first[d + 1]]} if len(cache) > 64 else cache | {d: h[first[d] : first[d + 1]]}
-            own = cache[d]
-            start = max(0, min(s - int(first[d]), len(own) - self.lengths[i]))
-            bag = Counter(_shingles(own[start : start + self.lengths[i]]).tolist())
+        last, own = -1, None
+        for s, i in sorted(found):
+            d, size = int(doc[s]), self.lengths[i]
+            if d != last:
+                last, own = d, _shingles(h[first[d] : first[d + 1]]).tolist()
+            start = max(0, min(s - int(first[d]), int(n[d]) - size))
+            if min(size, n[d]) >= K:  # the window's shingles are some of the document's
+                bag = Counter(own[start : start + min(size, int(n[d])) - K + 1])
+            else:
+                bag = Counter(_shingles(h[first[d] + start : first[d] + min(start + size, int(n[d]))]).tolist())
             least = sum((bag & self.bags[i]).values())
             most = bag.total() + self.bags[i].total() - least
             if DEN * least >= NUM * most and (least / most, -start) > best.get((d, i), (0.0, 0)):
@@ -121,7 +126,7 @@ class Items:
         some = np.flatnonzero(masks)
         own, masks, valid = own[some], masks[some], valid[some]
         for no, i in enumerate(mine):
-            x = np.flatnonzero(masks >> np.uint64(no) & np.uint64(1))
+            x = np.flatnonzero(masks & masks.dtype.type(1 << no))
             x = x[np.bitwise_count(own[x] ^ prints[no]) <= RADIUS]
             found.update((at + int(s), i) for s in valid[x])
 
