@@ -71,7 +71,7 @@ COLLAPSE = r"trim(regexp_replace({0}, '[\s\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000
 _col = lambda x: COLLAPSE.replace("{0}", x)
 RECALL = f"{HITS}, {GOLD}, each AS (SELECT g.query_id, g.document_id, g.quote, max(CASE WHEN h.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) AS hit FROM gold g LEFT JOIN (SELECT hits.query_id, c.document_id, c.text FROM hits JOIN chunks c USING (chunk_id)) AS x ON x.query_id = g.query_id AND x.document_id = g.document_id AND contains({_col('x.text')}, {_col('g.quote')}) LEFT JOIN (SELECT 1 AS chunk_id) h ON x.query_id IS NOT NULL GROUP BY ALL), rec AS (SELECT query_id, avg(hit) AS recall, count(*) AS n_gold FROM each GROUP BY query_id)"
 
-WORDS = "w AS (SELECT vec_id // 5 AS chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT chunk_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM w), qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < 10), qu AS (SELECT query_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS q FROM qv)"
+WORDS = "w AS (SELECT vec_id // 5 AS chunk_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT chunk_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM w), qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 20 = 0), qu AS (SELECT query_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS q FROM qv)"
 
 
 def _windows(s, d) -> DataFrame:
@@ -79,7 +79,13 @@ def _windows(s, d) -> DataFrame:
 
 
 def _vector_queries(s, d) -> DataFrame:
-    return _read(s, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _read(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _vector_partners(s, d) -> DataFrame:
+    """Another query for each: those at the same place from the other end."""
+    q = _vector_queries(s, d).select("query_id")
+    return q.join(F.broadcast(q.agg(F.max("query_id").alias("last")))).select("query_id", (F.col("last") - F.col("query_id")).alias("partner"))
 
 
 BLOCKS = rf"""blocks AS (SELECT document_id, (pos // 40 + 1)::INT AS page, pos::INT AS ord, text, CASE WHEN regexp_matches(text, '(?i)^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?(?:abstract|introduction|background|related work|methods?|methodology|experiments?|results?|discussion|conclusions?|limitations?|references|摘要|引言|背景|相关工作|方法|实验|结果|讨论|结论|局限性|参考文献)\s*$') THEN 'heading' ELSE 'text' END AS kind
@@ -102,18 +108,18 @@ r AS (SELECT document_id, rn, CASE WHEN kind = 'heading' THEN 0 ELSE 1 END AS no
 c AS (SELECT n.document_id, r.no AS chunk_no, min(n.page) AS page, min(n.section) AS section, string_agg(n.text, chr(10) ORDER BY n.rn) AS text, string_agg(n.id, '|' ORDER BY n.rn) AS ids FROM n JOIN r USING (document_id, rn) WHERE NOT r.head GROUP BY ALL)
 SELECT document_id, chunk_no, page, section, text, substr(sha256(ids || '|' || text), 1, 16) AS id FROM c"""
 
-CELLS = "t AS (SELECT p_brand AS brand, list(struct_pack(t := p_type, n := p_name, s := p_size) ORDER BY p_partkey)[1:12] AS items FROM part GROUP BY p_brand)"
+CELLS = "t AS (SELECT p_brand || '/' || (p_partkey // 300) AS brand, list(struct_pack(t := p_type, n := p_name, s := p_size) ORDER BY p_partkey) AS items FROM part GROUP BY ALL)"
 
 
 def _tables(s, d) -> DataFrame:
-    """A table per brand from its first parts; every fifth row's size cell has no box."""
+    """A table per brand and 300 part keys; every fifth part's size cell has no box."""
     box = F.expr("named_struct('x0', 0D, 'top', 0D, 'x1', 1D, 'bottom', 1D)")
     cell = lambda text, ok=True: F.struct(text.cast("string").alias("text"), F.when(F.lit(True) if ok is True else ok, box).alias("bbox"))
-    items = F.slice(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type", "p_name", "p_size"))), 1, 12)
-    t = _read(s, d, "part").groupBy("p_brand").agg(items.alias("items"))
+    items = F.array_sort(F.collect_list(F.struct("p_partkey", "p_type", "p_name", "p_size")))
+    t = _read(s, d, "part").groupBy(F.expr("concat(p_brand, '/', p_partkey div 300)").alias("brand")).agg(items.alias("items"))
     header = F.array(cell(F.lit("Type")), cell(F.lit("Name")), cell(F.lit("Size")))
     body = F.transform("items", lambda x: F.array(cell(x["p_type"]), cell(x["p_name"]), cell(x["p_size"], x["p_partkey"] % 5 != 0)))
-    return t.select(F.col("p_brand").alias("chunk_id"), F.concat(F.array(header), body).alias("rows"))
+    return t.select(F.col("brand").alias("chunk_id"), F.concat(F.array(header), body).alias("rows"))
 
 
 INTERVALS = "(VALUES (1, 0, 4), (1, 4, 6), (1, 8, 9), (1, 3, 5), (2, 1, 2), (2, 5, 7), (2, 6, 6), (2, 7, 10)) AS v(page, l, r)"
@@ -151,11 +157,11 @@ QUERIES = {
     "number_tokens": (lambda s, d: _read(s, d, "documents").select("doc_id", F.explode(T.numbers(T.collapse(F.col("text")))).alias("number")), None),
     "compact_text": (lambda s, d: _read(s, d, "documents").select("doc_id", F.sha2(T.compact(F.col("text")), 256).alias("h")), "SELECT doc_id, sha256(regexp_replace(text, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g')) AS h FROM documents"),
     "table_markdown": (lambda s, d: _tables(s, d).select("chunk_id", T.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"]))).alias("markdown")), f"WITH {CELLS} SELECT brand AS chunk_id, '| Type | Name | Size |' || chr(10) || '| --- | --- | --- |' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.t || ' | ' || x.n || ' | ' || x.s || ' |'), chr(10)) AS markdown FROM t"),
-    "bindable_cells": (lambda s, d: tables.cells(_tables(s, d)).select("chunk_id", "row", "column", "row_label", "column_label", "value"), "WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS \"row\" FROM part) SELECT p_brand AS chunk_id, \"row\", 1 AS \"column\", p_type AS row_label, 'Name' AS column_label, p_name AS value FROM p WHERE \"row\" <= 12 UNION ALL SELECT p_brand, \"row\", 2, p_type, 'Size', p_size::VARCHAR FROM p WHERE \"row\" <= 12 AND p_partkey % 5 <> 0"),
+    "bindable_cells": (lambda s, d: tables.cells(_tables(s, d)).select("chunk_id", "row", "column", "row_label", "column_label", "value"), "WITH p AS (SELECT *, p_brand || '/' || (p_partkey // 300) AS brand, row_number() OVER (PARTITION BY p_brand, p_partkey // 300 ORDER BY p_partkey)::INT AS \"row\" FROM part) SELECT brand AS chunk_id, \"row\", 1 AS \"column\", p_type AS row_label, 'Name' AS column_label, p_name AS value FROM p UNION ALL SELECT brand, \"row\", 2, p_type, 'Size', p_size::VARCHAR FROM p WHERE p_partkey % 5 <> 0"),
     "unit_vectors": (lambda s, d: _read(s, d, "embeddings").select("vec_id", F.round(semantic.unit(F.col("embedding"))[0], 6).alias("x0")), "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS x0 FROM embeddings"),
     "maxpool_topk": (lambda s, d: semantic.dense(_windows(s, d), _vector_queries(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"), f"WITH {WORDS}, m AS (SELECT query_id, chunk_id, max(greatest(-1, least(1, list_inner_product(v, q)))) AS score FROM u CROSS JOIN qu GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM m) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5"),
     "owner_coverage": (lambda s, d: semantic.uncovered(s.range(0, 3).withColumnRenamed("id", "chunk_id").unionByName(_windows(s, d).select("chunk_id")), _windows(s, d).where("chunk_id > 1")), "SELECT DISTINCT vec_id // 5 AS chunk_id, 'no window' AS fault FROM embeddings WHERE vec_id // 5 <= 1"),
-    "rrf_fusion": (lambda s, d: semantic.fuse(semantic.dense(_windows(s, d), _vector_queries(s, d), k=20), semantic.dense(_windows(s, d), _vector_queries(s, d).withColumn("query_id", 9 - F.col("query_id")), k=20)).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "rank"), f"WITH {WORDS}, m AS (SELECT query_id, chunk_id, max(greatest(-1, least(1, list_inner_product(v, q)))) AS score FROM u CROSS JOIN qu GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM m), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM k WHERE rank <= 20 UNION ALL SELECT 9 - query_id, chunk_id, rank FROM k WHERE rank <= 20) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM f) SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM o WHERE rank <= 5"),
+    "rrf_fusion": (lambda s, d: semantic.fuse(semantic.dense(_windows(s, d), _vector_queries(s, d), k=20), semantic.dense(_windows(s, d), _vector_queries(s, d).join(_vector_partners(s, d), "query_id").select(F.col("partner").alias("query_id"), "embedding"), k=20)).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "rank"), f"WITH {WORDS}, partners AS (SELECT vec_id AS query_id, max(vec_id) OVER () - vec_id AS partner FROM embeddings WHERE vec_id % 20 = 0), m AS (SELECT query_id, chunk_id, max(greatest(-1, least(1, list_inner_product(v, q)))) AS score FROM u CROSS JOIN qu GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM m), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM k WHERE rank <= 20 UNION ALL SELECT partner, chunk_id, rank FROM k JOIN partners USING (query_id) WHERE rank <= 20) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM f) SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM o WHERE rank <= 5"),
     "extractive_claims": (lambda s, d: answering.extractive(_hits(s, d), _chunks(s, d)).select("query_id", "claim_no", "chunk_id", "text"), f"{HITS} SELECT query_id, rank::INT AS claim_no, chunk_id, text FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 3"),
     "no_hit_abstain": (lambda s, d: answering.without_hits(_questions(s, d).unionByName(s.createDataFrame([(-1, "xylophonic biodiversity")], "query_id long, question string")), _hits(s, d)), f"{HITS} SELECT query_id, true AS abstain, 'no evidence was found' AS reason FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) WHERE query_id NOT IN (SELECT query_id FROM hits)"),
     "evidence_budget": (lambda s, d: answering.evidence_size(_hits(s, d), _chunks(s, d), 3000), f"{HITS} SELECT query_id, sum(length(text))::BIGINT AS chars, sum(length(text)) <= 3000 AS fits FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id"),
