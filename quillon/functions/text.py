@@ -1,7 +1,8 @@
 """Column expressions over text: tokens, numbers, normalisation, headings, Markdown tables."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +55,28 @@ def markdown(rows: Column) -> Column:
     lines = F.transform(clean, line)
     rule = F.concat(F.lit("| "), F.concat_ws(" | ", F.array_repeat(F.lit("---"), width)), F.lit(" |"))
     return F.when(F.size(rows) == 0, F.lit("")).otherwise(F.concat_ws("\n", F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))))))
+
+
+def _nfkc(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC, for which Spark has no built-in: an Arrow stage over batches."""
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
+def normalized(text: Column) -> Column:
+    return collapse(nfkc(text))
+
+
+def parse_markdown(text: Column) -> Column:
+    """Rows of a Markdown table (the rule row left out), unescaped; null unless there are three lines
+    of equal width at least. Headers that occur twice get their column's number."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.startswith("| "))
+    cells = lambda x: F.transform(F.split(x, r"(?<!\\)\|", -1), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+    inner = lambda r: F.slice(r, 2, F.greatest(F.size(r) - 2, F.lit(0)))
+    rows = F.transform(lines, lambda x: inner(cells(x)))
+    head = F.transform(rows[0], lambda h, i: F.when(F.size(F.filter(rows[0], lambda o: o == h)) > 1, F.concat(h, F.lit(" ("), (i + 1).cast("string"), F.lit(")"))).otherwise(h))
+    ok = (F.size(rows) >= 3) & F.forall(rows, lambda r: F.size(r) == F.size(rows[0]))
+    return F.when(ok, F.concat(F.array(head), F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0)))))

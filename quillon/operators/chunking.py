@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,3 +56,54 @@ def fixed_windows(blocks: DataFrame, size: int = 1400) -> DataFrame:
     rows = rows.select("document_id", "page", F.concat(F.array_join(F.col("bs.text"), "\n"), F.lit("\n")).alias("all"))
     rows = rows.select("document_id", "page", "all", F.explode(F.sequence(F.lit(0), F.length("all") - 1, F.lit(size))).alias("start"))
     return rows.select("document_id", "page", F.col("start").cast("long").alias("start"), F.substring("all", F.col("start") + 1, F.lit(size)).alias("text"))
+
+
+def table_parts(tables: DataFrame, max_chars: int = 1400) -> DataFrame:
+    """tables (id, text, caption, rows) -> id, part, rows, text. A table whose text is too long is cut
+    between rows: each part repeats the header (and the caption), and the last spanning row (a label
+    without a box, all else empty) if it lies before the part. A row that is too long stays whole.
+    Others come back as they are, with a null part. Lines are measured at the whole table's width."""
+    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    size = lambda c: F.length(F.replace(F.coalesce(c["text"], F.lit("")), F.lit("|"), F.lit("\\|")))
+    blank = lambda c: F.coalesce(c["text"], F.lit("")) == ""
+    line = lambda r: F.aggregate(r, F.lit(0), lambda a, c: a + size(c)) + 3 * width + 1
+    spanning = lambda r: ~blank(r[0]) & r[0]["bbox"].isNull() & F.forall(F.slice(r, 2, F.size(r)), blank)
+    caption = F.coalesce("caption", F.lit(""))
+    top = line(F.col("rows")[0]) + 6 * width + 2 + F.when(caption != "", F.length(caption) + 1).otherwise(0)
+    long = tables.where(F.length("text") > max_chars).withColumn("lines", F.transform("rows", lambda r, i: F.struct(i.alias("i"), line(r).alias("n"), spanning(r).alias("span")))).withColumn("top", top)
+    start = F.expr("named_struct('part', -1, 'held', 0, 'lead', 0, 'group', 0, 'n', 0, 'out', cast(array() as array<struct<part:int,lead:int,i:int>>))")
+
+    def step(acc, x):
+        group, n = F.when(x["span"], x["i"]).otherwise(acc["group"]), F.when(x["span"], x["n"]).otherwise(acc["n"])
+        fresh = (acc["part"] < 0) | (acc["held"] + 1 + x["n"] > max_chars)
+        carried = F.when((group > 0) & (group != x["i"]), group).otherwise(0)
+        lead, part = F.when(fresh, carried).otherwise(acc["lead"]), acc["part"] + fresh.cast("int")
+        held = F.when(fresh, F.col("top") + F.when(carried > 0, n + 1).otherwise(0)).otherwise(acc["held"]) + 1 + x["n"]
+        item = F.struct(part.alias("part"), lead.alias("lead"), x["i"].alias("i"))
+        return F.struct(part.alias("part"), held.cast("int").alias("held"), lead.alias("lead"), group.alias("group"), n.alias("n"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+    cut = long.withColumn("cut", F.aggregate(F.slice("lines", 2, F.size("lines")), start, step)["out"])
+    each = cut.select("id", "caption", "rows", F.explode("cut").alias("c")).groupBy("id", F.col("c.part").alias("part")).agg(
+        F.any_value("caption").alias("caption"), F.any_value(F.col("rows")[0]).alias("head"), F.any_value(F.when(F.col("c.lead") > 0, F.get("rows", F.col("c.lead")))).alias("lead"),
+        F.transform(F.array_sort(F.collect_list(F.struct("c.i", F.get("rows", F.col("c.i")).alias("row")))), lambda x: x["row"]).alias("body"),
+    )
+    rows = F.concat(F.array("head"), F.when(F.col("lead").isNotNull(), F.array("lead")).otherwise(F.slice(F.array("head"), 1, 0)), F.col("body"))
+    each = each.select("id", "part", "caption", rows.alias("rows"))
+    text = F.concat(T.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"]))), F.when(caption != "", F.concat(F.lit("\n"), caption)).otherwise(""))
+    return each.select("id", "part", "rows", text.alias("text")).unionByName(tables.where(F.length("text") <= max_chars).select("id", F.lit(None).cast("int").alias("part"), "rows", "text"))
+
+
+def boxes_of(rows):
+    """Boxes of the cells that have one."""
+    return F.filter(F.transform(F.flatten(rows), lambda c: c["bbox"]), lambda b: b.isNotNull())
+
+
+def token_windows(texts: DataFrame, budget: int = 448, overlap: int = 64) -> DataFrame:
+    """texts (chunk_id, tokens) -> chunk_id, window_no, tokens: windows of budget tokens that overlap;
+    the last ends with the text, and a text without tokens is one empty window."""
+    if not 0 <= overlap < budget:
+        raise ValueError("overlap must be less than the budget")
+    n = F.size("tokens")
+    last = F.greatest(F.ceil((n - overlap) / (budget - overlap)) - 1, F.lit(0)).cast("int")
+    rows = texts.select("chunk_id", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("window_no"))
+    return rows.select("chunk_id", "window_no", F.slice("tokens", F.col("window_no") * (budget - overlap) + 1, F.lit(budget)).alias("tokens"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import layout, lexical
 
 
 def evidence_recall(gold: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -20,3 +21,43 @@ def evidence_recall(gold: DataFrame, hits: DataFrame, chunks: DataFrame) -> Data
 def summary(recall: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     """Mean recall overall (null group) and by a property of the question."""
     return recall.join(groups, "query_id").groupingSets([[F.col(by)], []], by).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("questions"))
+
+
+def candidates(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits per question, none included: the probe of questions without an answer."""
+    return questions.select("query_id").join(hits.select("query_id", "chunk_id"), "query_id", "left").groupBy("query_id").agg(F.count("chunk_id").alias("candidates"))
+
+
+def availability(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Whether all of a question's gold (query_id, document_id, quote) is in some chunk."""
+    c = chunks.select(F.col("document_id").alias("d"), T.collapse(F.col("text")).alias("t"))
+    g = gold.select("query_id", "document_id", T.collapse(F.col("quote")).alias("q")).distinct()
+    each = g.join(c, (F.col("d") == F.col("document_id")) & F.contains("t", "q"), "left").groupBy("query_id", "document_id", "q").agg(F.count("t").alias("n"))
+    return each.groupBy("query_id").agg(F.bool_and(F.col("n") > 0).alias("available"), F.count("*").alias("n_gold"))
+
+
+def has_evidence(chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """Pairs (gold_id, chunk_id): equal page, the quote in the text, and a box of the chunk around the
+    centre of the gold's box."""
+    c = chunks.select("chunk_id", F.col("page").alias("p"), T.normalized(F.col("text")).alias("t"), "boxes")
+    g = gold.select("gold_id", "page", T.normalized(F.col("quote")).alias("q"), "bbox")
+    return g.join(c, (F.col("p") == F.col("page")) & F.contains("t", "q") & F.exists("boxes", lambda b: layout.contains_center(b, F.col("bbox")))).select("gold_id", "chunk_id")
+
+
+def bound_cells(cells: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold (gold_id, chunk_id, value, row_label, column_label, bbox) that a bindable cell matches:
+    equal but for white space, its box around the centre of the gold's."""
+    same = [T.compact(F.col(f"c.{x}")) == T.compact(F.col(f"g.{x}")) for x in ("value", "row_label", "column_label")]
+    cond = F.col("c.chunk_id") == F.col("g.chunk_id")
+    for s in [*same, layout.contains_center(F.col("c.box"), F.col("g.bbox"))]:
+        cond = cond & s
+    return gold.alias("g").join(cells.alias("c"), cond, "left_semi")
+
+
+def compare_chunkers(chunkers: dict[str, DataFrame], questions: DataFrame, gold: DataFrame, k: int = 3) -> DataFrame:
+    """Recall@k of the same questions over several sets of chunks (chunk_id, document_id, text)."""
+    out = None
+    for name, chunks in chunkers.items():
+        r = evidence_recall(gold, lexical.bm25(chunks, questions, k=k), chunks).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("questions")).select(F.lit(name).alias("chunker"), "recall", "questions")
+        out = r if out is None else out.unionByName(r)
+    return out

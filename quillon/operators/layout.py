@@ -51,3 +51,40 @@ def reading_order(objects: DataFrame) -> DataFrame:
     order = F.when(F.col("side") == "wide", 0).when(F.col("side") == "left", 1).otherwise(2)
     pos = F.row_number().over(Window.partitionBy("page").orderBy("band", order, "top", "object_id"))
     return bands.withColumn("position", pos).withColumn("flow", F.concat(F.lit("band"), F.col("band"), F.lit("-"), F.col("side")))
+
+
+def column_of(gutters: Column, center: Column) -> Column:
+    """Number of the column that a centre lies in; a gutter at the centre counts as passed."""
+    return F.size(F.filter(gutters, lambda g: g <= center))
+
+
+def outside(glyphs: DataFrame, boxes: DataFrame, margin: float = 0.5) -> DataFrame:
+    """Glyphs (page, ...) whose centre lies in none of the boxes (page, box) of their page."""
+    b = boxes.select(F.col("page").alias("p"), F.col("box").alias("b"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    within = x.between(F.col("b.x0") - margin, F.col("b.x1") + margin) & y.between(F.col("b.top") - margin, F.col("b.bottom") + margin)
+    return glyphs.join(b, (F.col("page") == F.col("p")) & within, "left_anti")
+
+
+def accepted_grids(grids: DataFrame) -> DataFrame:
+    """Grids (rows: arrays of cells) of two rows and columns at least, of which 65 % of cells hold text."""
+    cells = F.flatten("rows")
+    filled = F.size(F.filter(cells, lambda c: F.coalesce(F.trim(c["text"]), F.lit("")) != ""))
+    return grids.where((F.size("rows") >= 2) & (F.array_max(F.transform("rows", lambda r: F.size(r))) >= 2) & (filled / F.size(cells) >= 0.65))
+
+
+def gutters(words: DataFrame, width: float) -> DataFrame:
+    """words (page, line, x0, x1) -> page, gutter: the middle of the longest run of x positions that
+    the most central gaps leave empty, on pages where six lines and 35 % of eligible lines agree."""
+    w = Window.partitionBy("page", "line")
+    o = w.orderBy("x0")
+    rows = words.select("page", "line", "x1", F.lead("x0").over(o).alias("next"), F.row_number().over(o).alias("i"), F.count("*").over(w).alias("n"), F.min("x0").over(w).alias("lo"), F.max("x1").over(w).alias("hi"))
+    rows = rows.where((F.col("n") >= 8) & (F.col("lo") < width * 0.4) & (F.col("hi") > width * 0.6))
+    eligible = rows.where("i = 1").groupBy("page").agg(F.count("*").alias("eligible"))
+    gap, mid = F.col("next") - F.col("x1"), (F.col("next") + F.col("x1")) / 2
+    gaps = rows.where((F.col("i") >= 3) & (F.col("n") - F.col("i") >= 3) & gap.between(8, width * 0.18) & mid.between(width * 0.4, width * 0.6))
+    lo, hi = F.greatest(F.ceil(F.col("x1") + 1), F.lit(int(width * 0.4))), F.least(F.floor(F.col("next") - 1), F.lit(int(width * 0.6)))
+    votes = gaps.where(lo <= hi).select("page", F.explode(F.sequence(lo, hi)).alias("x")).groupBy("page", "x").agg(F.count("*").alias("support"))
+    best = votes.withColumn("most", F.max("support").over(Window.partitionBy("page"))).where("support = most and most >= 6").join(eligible, "page").where("eligible >= 6 and most / eligible >= 0.35")
+    runs = best.withColumn("run", F.col("x") - F.row_number().over(Window.partitionBy("page").orderBy("x"))).groupBy("page", "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return runs.groupBy("page").agg(F.min_by((F.col("a") + F.col("b")) / 2, F.struct(F.col("a") - F.col("b"), "a")).alias("gutter"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import top
+from .lexical import bm25, top
 
 
 def norm(v: Column) -> Column:
@@ -47,3 +47,23 @@ def fuse(*rankings: DataFrame, k: int = 5, constant: int = 60) -> DataFrame:
         part = r.select("query_id", "chunk_id", (F.lit(1.0) / (F.lit(constant) + F.col("rank"))).alias("part"))
         rows = part if rows is None else rows.unionByName(part)
     return top(rows.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")), k, ["query_id"])
+
+
+def fingerprint(chunks: DataFrame, metadata: str, *keys: str) -> DataFrame:
+    """One SHA-256 per keys of all (chunk_id, text) and the embedder's metadata, in any row order."""
+    each = F.sha2(F.concat(F.col("chunk_id").cast("string"), F.lit("|"), F.coalesce("text", F.lit(""))), 256)
+    return chunks.groupBy(*keys).agg(F.sha2(F.concat(F.lit(metadata), F.array_join(F.array_sort(F.collect_list(each)), "")), 256).alias("fingerprint"))
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, mode: str = "bm25", k: int = 5, windows: DataFrame | None = None, vectors: DataFrame | None = None, depth: int = 20) -> DataFrame:
+    """Hits by bm25, dense or hybrid; the latter two need windows (chunk_id, embedding) of the chunks
+    and vectors (query_id, embedding) of the questions."""
+    if mode not in ("bm25", "dense", "hybrid"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode != "bm25" and (windows is None or vectors is None):
+        raise ValueError("dense retrieval needs windows and vectors")
+    if mode == "bm25":
+        return bm25(chunks, questions, k)
+    if mode == "dense":
+        return dense(windows, vectors, k)
+    return fuse(bm25(chunks, questions, max(k, depth)), dense(windows, vectors, max(k, depth)), k=k)

@@ -22,7 +22,7 @@ def cells(tables: DataFrame) -> DataFrame:
     context = F.filter(pairs, lambda p: (p["i"] >= 1) & (p["i"] != F.col("column")) & p["b"].isNotNull() & ~p["t"].contains("\n") & p["t"].rlike(LETTER) & (p["h"] != ""))
     shown = F.when(same, F.array_join(F.transform(context, lambda p: F.concat(p["h"], F.lit("="), F.trim(p["t"]))), "; ")).otherwise("")
     claim = F.concat(F.trim(label["text"]), F.when(shown != "", F.concat(F.lit(" / "), shown)).otherwise(""), F.lit(" · "), F.trim(head["text"]), F.lit("："), F.trim("cell.text"))
-    return rows.where(ok).select("chunk_id", "row", "column", F.trim(label["text"]).alias("row_label"), F.trim(head["text"]).alias("column_label"), F.trim("cell.text").alias("value"), claim.alias("claim"))
+    return rows.where(ok).select("chunk_id", "row", "column", F.trim(label["text"]).alias("row_label"), F.trim(head["text"]).alias("column_label"), F.trim("cell.text").alias("value"), claim.alias("claim"), F.col("cell.bbox").alias("box"))
 
 
 def cell_reference(tables: DataFrame, wanted: DataFrame) -> DataFrame:

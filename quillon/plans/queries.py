@@ -172,6 +172,16 @@ QUERIES = {
     "box_overlap": (lambda s, d: _boxes(s).select("id", F.round(layout.overlap(F.col("a"), F.col("b")), 6).alias("share"), layout.contains_center(F.col("a"), F.col("b")).alias("inside")), f"SELECT id, round((greatest(0, least(a2, b2) - greatest(a0, b0)) * greatest(0, least(a3, b3) - greatest(a1, b1)) / greatest(1, least((a2 - a0) * (a3 - a1), (b2 - b0) * (b3 - b1))))::DOUBLE, 6) AS share, (b0 + b2) / 2 BETWEEN a0 - 1 AND a2 + 1 AND (b1 + b3) / 2 BETWEEN a1 - 1 AND a3 + 1 AS inside FROM {BOXES}"),
     "word_segmentation": (lambda s, d: layout.words_of(s.sql(f"SELECT page, line, cast(x0 AS double) x0, cast(x1 AS double) x1, text FROM {GLYPHS}")).select("page", "line", "text"), "SELECT * FROM (VALUES (1, 1, 'Hi'), (1, 1, 'to'), (1, 2, 'x'), (2, 1, 'y'), (2, 1, 'z')) AS v(page, line, text)"),
     "reading_order": (lambda s, d: layout.reading_order(s.sql(f"SELECT * FROM {OBJECTS}")).select("page", "object_id", "position", "flow"), "SELECT * FROM (VALUES (1, 1, 1, 'band0-left'), (1, 2, 2, 'band0-right'), (1, 3, 3, 'band1-wide'), (1, 5, 4, 'band1-left'), (1, 4, 5, 'band1-right'), (2, 6, 1, 'band1-wide'), (2, 7, 2, 'band1-left')) AS v(page, object_id, position, flow)"),
+    "unanswerable_probe": (lambda s, d: evaluation.candidates(_questions(s, d).unionByName(s.createDataFrame([(-1, "xylophonic biodiversity")], "query_id long, question string")), _hits(s, d)), f"{HITS} SELECT query_id, count(chunk_id) AS candidates FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) LEFT JOIN hits USING (query_id) GROUP BY query_id"),
+    "prompt_payload": (lambda s, d: answering.prompts(_questions(s, d), _hits(s, d), _chunks(s, d)), f"{HITS} SELECT item_id AS query_id, to_json(struct_pack(question := any_value(b.text), evidence := list(struct_pack(chunk_id := chunk_id, text := c.text) ORDER BY rank)))::VARCHAR AS payload FROM benchmark b JOIN hits ON query_id = item_id JOIN chunks c USING (chunk_id) GROUP BY item_id"),
+    "evidence_availability": (lambda s, d: evaluation.availability(_gold(s, d).unionByName(_gold(s, d).withColumn("document_id", F.col("document_id") + F.col("query_id") % 2)), _chunks(s, d)), f"WITH {LINES}, {GOLD}, g AS (SELECT DISTINCT query_id, document_id, {_col('quote')} AS q FROM (FROM gold UNION ALL SELECT query_id, document_id + query_id % 2, quote FROM gold)), e AS (SELECT g.query_id, g.document_id, g.q, count(c.text) AS n FROM g LEFT JOIN chunks c ON c.document_id = g.document_id AND contains({_col('c.text')}, g.q) GROUP BY ALL) SELECT query_id, bool_and(n > 0) AS available, count(*) AS n_gold FROM e GROUP BY query_id"),
+    "table_value_claims": (lambda s, d: answering.table_values(_tables(s, d).select("chunk_id", F.posexplode("rows").alias("row", "r")).where("row >= 1").select("chunk_id", "row", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("column")), _tables(s, d)).select("chunk_id", "row", "column", "value", "valid"), "WITH p AS (SELECT *, p_brand || '/' || (p_partkey // 300) AS brand, row_number() OVER (PARTITION BY p_brand, p_partkey // 300 ORDER BY p_partkey)::INT AS \"row\" FROM part) SELECT brand AS chunk_id, \"row\", c AS \"column\", CASE c WHEN 1 THEN p_name WHEN 2 THEN CASE WHEN p_partkey % 5 <> 0 THEN p_size::VARCHAR END END AS value, c = 1 OR (c = 2 AND p_partkey % 5 <> 0) AS valid FROM p CROSS JOIN (VALUES (1), (2), (3)) AS v(c)"),
+    "markdown_parse": (lambda s, d: _tables(s, d).select("chunk_id", F.explode(F.slice(T.parse_markdown(T.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"])))), 2, F.size("rows"))).alias("r")).select("chunk_id", F.col("r")[0].alias("type"), F.col("r")[1].alias("name"), F.col("r")[2].alias("size")), "SELECT p_brand || '/' || (p_partkey // 300) AS chunk_id, p_type AS type, p_name AS name, p_size::VARCHAR AS size FROM part"),
+    "table_parts": (lambda s, d: chunking.table_parts(_tables(s, d).select(F.col("chunk_id").alias("id"), T.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"]))).alias("text"), F.lit("Table 1. Parts").alias("caption"), "rows"), 400).select("id", "part", "text"), None),
+    "token_windows": (lambda s, d: chunking.token_windows(_read(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.split(F.coalesce("text", F.lit("")), " ", -1).alias("tokens"))).select("chunk_id", "window_no", F.array_join("tokens", " ").alias("text")), "WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS a FROM documents), w AS (SELECT doc_id, a, unnest(range(greatest(ceil((len(a) - 64) / 384), 1)::BIGINT)) AS n FROM t) SELECT doc_id AS chunk_id, n::INT AS window_no, array_to_string(a[n * 384 + 1 : n * 384 + 448], ' ') AS text FROM w"),
+    "corpus_fingerprint": (lambda s, d: semantic.fingerprint(_chunks(s, d), "e5|", "document_id"), f"WITH {LINES}, h AS (SELECT document_id, sha256(chunk_id::VARCHAR || '|' || text) AS h FROM chunks) SELECT document_id, sha256('e5|' || string_agg(h, '' ORDER BY h)) AS fingerprint FROM h GROUP BY document_id"),
+    "chunker_comparison": (lambda s, d: evaluation.compare_chunkers({"lines": _chunks(s, d), "sections": chunking.pack(_sections(s, d)).select((F.col("document_id") * 1000000 + F.col("chunk_no")).alias("chunk_id"), "document_id", "text"), "windows": chunking.fixed_windows(_sections(s, d)).select((F.col("document_id") * 1000000000 + F.col("page") * 1000000 + F.col("start")).alias("chunk_id"), "document_id", "text")}, _questions(s, d), _gold(s, d)), None),
+    "gutter_detection": (lambda s, d: layout.gutters(s.sql(f"SELECT cast(page AS int) AS page, cast(line AS int) AS line, cast(a AS double) AS x0, cast(a + 35 AS double) AS x1 FROM (SELECT explode(sequence(1, 2)) AS page) JOIN (SELECT explode(sequence(1, 12)) AS line) JOIN (SELECT explode(array(50, 100, 150, 200, 250, 320, 370, 420, 470)) AS a) WHERE page = 1 OR line <= 5"), 612.0), "SELECT 1::INT AS page, 302.5::DOUBLE AS gutter"),
 }
 
 

@@ -30,3 +30,18 @@ def scan_files(spark: SparkSession, path: str, max_bytes: int = 30 << 20) -> Dat
     f = spark.read.format("binaryFile").load(path)
     why = F.when(F.col("length") > max_bytes, "too large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not a PDF")
     return f.select(F.substring(F.sha2("content", 256), 1, 16).alias("document_id"), "path", "content", why.alias("refused"))
+
+
+def read_vectors(spark: SparkSession, folder: str, fingerprint: str) -> DataFrame:
+    """Windows cached for a fingerprint: chunk_id, window_no, embedding."""
+    return spark.read.parquet(f"{folder}/{fingerprint}")
+
+
+def write_vectors(windows: DataFrame, folder: str, fingerprint: str) -> None:
+    """Raw vectors; an existing cache is never overwritten."""
+    windows.write.mode("errorifexists").parquet(f"{folder}/{fingerprint}")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Answers or reports, one JSON object a line."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)

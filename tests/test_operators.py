@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import answering, chunking, layout, lexical, semantic, tables
+from quillon.operators import answering, chunking, evaluation, layout, lexical, semantic, tables
+from quillon.sources import settings
 
 
 def _one(spark, value, f):
@@ -93,3 +94,73 @@ def test_verdicts(spark):
 def test_merge_intervals_touching(spark):
     df = spark.createDataFrame([(1, 0, 4), (1, 4, 6), (1, 8, 9)], "page int, left int, right int")
     assert sorted((r.left, r.right) for r in layout.merge_intervals(df, "page").collect()) == [(0, 6), (8, 9)]
+
+
+BOX = "struct<x0:double,top:double,x1:double,bottom:double>"
+
+
+def test_nfkc(spark):
+    assert _one(spark, "ﬁ\u00a0 ２", T.normalized) == "fi 2" and _one(spark, None, T.normalized) is None
+
+
+def test_table_parts(spark):
+    box = (0.0, 0.0, 1.0, 1.0)
+    rows = [[("Method", box), ("Score", box)]] + [[("Group", None), ("", None)] if i == 6 else [(f"Variant-{i}", box), (str(100 + i), box)] for i in range(20)]
+    ddl = f"id string, text string, caption string, rows array<array<struct<text:string,bbox:{BOX}>>>"
+    df = spark.createDataFrame([("t", "X" * 1500, "Table 8. Comparison", rows), ("u", "short", None, rows[:2])], ddl)
+    out = chunking.table_parts(df, 180).collect()
+    assert [r.text for r in out if r.id == "u"] == ["short"]
+    parts = sorted((r for r in out if r.id == "t"), key=lambda r: r.part)
+    assert len(parts) > 1 and all(len(p.text) <= 180 and p.text.endswith("\nTable 8. Comparison") and p.rows[0][0].text == "Method" for p in parts)
+    body = [c[0].text for p in parts for c in p.rows[1:]]
+    carried = [i for i, t in enumerate(body) if t == "Group"]
+    assert len(carried) > 1 and [t for i, t in enumerate(body) if i not in carried[1:]] == [r[0][0] for r in rows[1:]]
+
+
+def test_gutter_needs_support(spark):
+    words = [(p, line, float(x), float(x + 35)) for p in (1, 2) for line in range(12) if p == 1 or line < 5 for x in (50, 100, 150, 200, 250, 320, 370, 420, 470)]
+    assert [tuple(r) for r in layout.gutters(spark.createDataFrame(words, "page int, line int, x0 double, x1 double"), 612.0).collect()] == [(1, 302.5)]
+
+
+def test_grids_glyphs_and_columns(spark):
+    grid = lambda rows: [[(t, None) for t in r] for r in rows]
+    g = spark.createDataFrame([(1, grid([["60", "", "", ""], ["", "", "", ""], ["80", "", "", "graph"]])), (2, grid([["a", "b"], ["c", None]]))], f"id int, rows array<array<struct<text:string,bbox:{BOX}>>>")
+    assert [r.id for r in layout.accepted_grids(g).collect()] == [2]
+    glyphs = spark.createDataFrame([(1, 0.0, 2.0, 0.0, 2.0), (1, 20.0, 22.0, 0.0, 2.0)], "page int, x0 double, x1 double, top double, bottom double")
+    boxes = spark.createDataFrame([(1, (0.0, 0.0, 10.0, 10.0))], f"page int, box {BOX}")
+    assert [r.x0 for r in layout.outside(glyphs, boxes).collect()] == [20.0]
+    assert spark.range(1).select(layout.column_of(F.array(F.lit(1.0), F.lit(2.0)), F.lit(2.0))).first()[0] == 2
+
+
+def test_evidence_and_bound_cells(spark):
+    chunks = spark.createDataFrame([(1, 2, "The method achieves 91.2% accuracy.", [(0.0, 0.0, 100.0, 20.0)])], f"chunk_id int, page int, text string, boxes array<{BOX}>")
+    inside, away = (10.0, 5.0, 20.0, 10.0), (500.0, 500.0, 510.0, 510.0)
+    gold = spark.createDataFrame([(1, 2, "91.2%  accuracy", inside), (2, 1, "91.2%", inside), (3, 2, "91.2%", away), (4, 2, "99.2%", inside)], f"gold_id int, page int, quote string, bbox {BOX}")
+    assert [r.gold_id for r in evaluation.has_evidence(chunks, gold).collect()] == [1]
+    cells = spark.createDataFrame([("t", "17.4", "Encoder", "Score", (0.0, 0.0, 100.0, 20.0))], f"chunk_id string, value string, row_label string, column_label string, box {BOX}")
+    want = spark.createDataFrame([(1, "t", "17. 4", "Encoder", "Score", inside), (2, "t", "17.4", "Other", "Score", inside)], f"gold_id int, chunk_id string, value string, row_label string, column_label string, bbox {BOX}")
+    assert [r.gold_id for r in evaluation.bound_cells(cells, want).collect()] == [1]
+
+
+def test_answers_parse(spark):
+    raw = spark.createDataFrame([(1, '{"abstain":true,"claims":[]}'), (2, '{"abstain":"false","claims":[]}'), (3, '{"abstain":false,"claims":[]}'), (4, '{"abstain":false,"claims":[{"text":"x"}]}'), (5, "no json"), (6, None)], "query_id int, answer string")
+    assert {r.query_id: r.reason for r in answering.parse_answers(raw).collect()} == {1: "abstained", 2: "malformed", 3: "malformed", 4: None, 5: "malformed", 6: "malformed"}
+
+
+def test_retrieve_modes(spark):
+    chunks = spark.createDataFrame([(1, 1, "red fox"), (2, 1, "blue sky")], "chunk_id long, document_id long, text string")
+    q, w = spark.createDataFrame([(0, "red")], "query_id long, question string"), spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    v = spark.createDataFrame([(0, [0.0, 1.0])], "query_id long, embedding array<float>")
+    assert [r.chunk_id for r in semantic.retrieve(chunks, q, "hybrid", windows=w, vectors=v).orderBy("rank").collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        semantic.retrieve(chunks, q, "dense")
+
+
+def test_settings(tmp_path):
+    f = tmp_path / "s.toml"
+    f.write_text('url = "a"\nkey_variable = "K"\nthinking = true\n')
+    s = settings.load_settings(str(f), {"QUILLON_URL": "b", "K": "secret"})
+    assert (s.url, s.key, s.thinking) == ("b", "secret", True)
+    f.write_text('thinking = "yes"')
+    with pytest.raises(ValueError):
+        settings.load_settings(str(f), {})
