@@ -51,5 +51,13 @@ class Table:
         drop(self.spark, self.path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as set it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

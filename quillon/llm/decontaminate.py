@@ -37,8 +37,9 @@ def _sums(h: np.ndarray) -> np.ndarray:
     """Running sums (n, 64) of the signs of the bits of word pairs; row i: the pairs before i."""
     pairs = _text.mix(h[:-1] * np.uint64(_text.MIX[0]) + h[1:] * np.uint64(_text.MIX[1]))
     signs = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-    out = np.zeros((len(h), 64), dtype=np.int16)
-    np.cumsum(signs * np.int8(2) - np.int8(1), axis=0, dtype=np.int16, out=out[1:])
+    kind = np.int16 if len(h) < 1 << 15 else np.int32
+    out = np.zeros((len(h), 64), dtype=kind)
+    np.cumsum(signs * np.int8(2) - np.int8(1), axis=0, dtype=kind, out=out[1:])
     return out
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Table, read
+from ._shared import Table, free, read
 
 SITES, MIN_WORDS, LG_K, BAND = 10, 3, 9, 0.35
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,25 +42,27 @@ def spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> D
     return sure.select("key", "first").unionByName(keys.df.join(exact, "key").select("key", "first"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """docs (doc_id, text, site, ...) -> docs with the lines taken out of text, and _n_removed."""
+def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES, count: str = "_n_removed") -> DataFrame:
+    """docs (doc_id, text, site, ...) -> docs with the lines taken out of text, and their number (count)."""
+    own, gone = free(docs, "_id"), free(docs, "_keys")
     spread = Table(spread_lines(docs, site, sites), "boilerplate").df
     hits = _lines(docs, site).join(spread, "key").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "key").distinct()
-    out = hits.groupBy("doc_id").agg(F.collect_list("key").alias("_keys")).withColumnRenamed("doc_id", "_id")
+    out = hits.groupBy("doc_id").agg(F.collect_list("key").alias(gone)).withColumnRenamed("doc_id", own)
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), F.xxhash64(x)))
-    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(x)))
+    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col(own)), "left")
     return joined.select(
-        *(F.when(F.col("_keys").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col("_keys").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("_n_removed"),
+        *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(count),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without boilerplate lines; documents of which no word is left go. n_chars follows."""
-    out = dedup_lines(docs).where(f"_n_removed = 0 or text rlike '{WORD}'".replace("\\", "\\\\"))
-    chars = F.when(F.col("_n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(*docs.columns)
+    count = free(docs, "_n_removed")
+    out = dedup_lines(docs, count=count).where(f"{count} = 0 or text rlike '{WORD}'".replace("\\", "\\\\"))
+    chars = F.when(F.col(count) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import Table, read
+from ._shared import Table, free, read
 
 WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,12 +86,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with copies: how often."""
-    rows = hashed(docs)
+    """Documents that the mix takes, with copies: how often (copies_ where documents have that name)."""
+    rows = hashed(docs.select("doc_id", "source", "text", F.struct("*").alias("_row")))
     thin = Table(rows.select("_source", "_size", "_hash"), "mix").df
-    names = docs.columns
     out = _taken(rows, Table(thresholds(thin), "plan").df)
-    return out.where("_copies > 0").select(*(F.col(f"`{c}`") for c in names), F.col("_copies").alias("copies"))
+    return out.where("_copies > 0").select("_row.*", F.col("_copies").alias(free(docs, "copies")))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, html, induced, linededup, lm, minhash, mixing, pii, quality, suffixdedup, toxicity
 
@@ -158,3 +159,21 @@ def test_html():
     page = "<title>t</title><p>A <b>b</b><br>c<p>d<ul><li>x<li>y</ul><table><caption>Cap<tr><th>H<th>Long<tr><td>1<td>2</table><div style='display:none'>no</div><script>'</p>'</script>e &amp; f"
     assert html.render(page) == "A b\nc\n\nd\n\n- x\n- y\n\nCap\nH | Long\n1 | 2\n\ne & f"
     assert html.render("") == "" and html.render("<div>" * 20_000 + "deep") == "deep"
+
+
+def test_stages_with_clashing_names(spark, docs, tmp_path):
+    """Every stage takes extra columns of any name, nulls and empty tables; all but the last keep the columns."""
+    import corpus_pipeline
+
+    names = ["_id", "_keys", "_n_removed", "_row", "_hash", "_source", "source_size", "target", "times", "copies", "component_id", "kept", "score", "site", "line", "node", "b"]
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, F.lit("clash"))
+    spark.createDataFrame([(1, " ".join(ROWS[9][1].split()[:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (wide, wide.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == wide.columns if name != "mixing" else out.columns == [*wide.columns, "copies_"], name
+            assert 0 <= out.count() <= table.count()
+            assert out.where("times <> 'clash'").count() == 0
