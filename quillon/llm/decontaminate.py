@@ -126,10 +126,14 @@ class Items:
             masks |= tables[b][blocks[:, b]]
         some = np.flatnonzero(masks)
         own, masks, valid = own[some], masks[some], valid[some]
-        for no, i in enumerate(mine):
-            x = np.flatnonzero(masks & masks.dtype.type(1 << no))
-            x = x[np.bitwise_count(own[x] ^ prints[no]) <= RADIUS]
-            found.update((at + int(s), i) for s in valid[x])
+        if not len(some):
+            return
+        # all pairs of a window and an item whose bit its mask holds, at once
+        width = 8 * masks.itemsize
+        pairs = np.flatnonzero(np.unpackbits(masks.view(np.uint8), bitorder="little").view(bool))
+        x, no = pairs >> (width.bit_length() - 1), pairs & (width - 1)
+        near = np.bitwise_count(own[x] ^ prints[no]) <= RADIUS
+        found.update((at + s, mine[i]) for s, i in zip(valid[x[near]].tolist(), no[near].tolist(), strict=True))
 
 
 def _search(batches, items: Items):
