@@ -19,8 +19,11 @@ def evidence_recall(gold: DataFrame, hits: DataFrame, chunks: DataFrame) -> Data
 
 
 def summary(recall: DataFrame, groups: DataFrame, by: str) -> DataFrame:
-    """Mean recall overall (null group) and by a property of the question."""
-    return recall.join(groups, "query_id").groupingSets([[F.col(by)], []], by).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("questions"))
+    """Mean recall overall (null group; null over no questions) and by a property of the question."""
+    rows = recall.join(groups, "query_id")
+    values = F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("questions")
+    overall = rows.agg(*values).select(F.lit(None).cast(groups.schema[by].dataType).alias(by), "recall", "questions")
+    return rows.groupBy(by).agg(*values).unionByName(overall)
 
 
 def candidates(questions: DataFrame, hits: DataFrame) -> DataFrame:
