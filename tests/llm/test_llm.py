@@ -155,6 +155,22 @@ def test_lm(docs, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_lm_trains_on_all(docs, monkeypatch):
+    """Every training document's words and end reach the attention parameters, in every round."""
+    seen = []
+
+    class Held(lm.Table):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if self.df.columns == ["rows", "sizes", "classes"]:
+                seen.append(sorted(len(r.classes) // 2 for r in self.df.collect()))
+
+    monkeypatch.setattr(lm, "Table", Held)
+    lm.score_texts(docs).count()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    assert seen == [sorted(len((t or "").split()) + 1 for i, t, _ in ROWS if not held(i))]
+
+
 def test_html():
     page = "<title>t</title><p>A <b>b</b><br>c<p>d<ul><li>x<li>y</ul><table><caption>Cap<tr><th>H<th>Long<tr><td>1<td>2</table><div style='display:none'>no</div><script>'</p>'</script>e &amp; f"
     assert html.render(page) == "A b\nc\n\nd\n\n- x\n- y\n\nCap\nH | Long\n1 | 2\n\ne & f"
