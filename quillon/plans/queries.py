@@ -1,7 +1,7 @@
 """The engine's queries over the supplied tables, each with DuckDB SQL for the same rows.
 
 Stand-ins: lines of documents are blocks and chunks, benchmark passages are questions, a passage that
-a line holds is gold evidence, embeddings are windows of chunks of five.
+a document holds whole is gold evidence, embeddings are windows of chunks of five.
 """
 
 from __future__ import annotations
@@ -60,10 +60,11 @@ def _hits(s, d) -> DataFrame:
 
 
 def _gold(s, d) -> DataFrame:
-    """Passages that a document holds whole, in blocks of the question set against all documents."""
-    b = _read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n", -1)).alias("quote")).where(F.length("quote") >= 20)
-    c = _chunks(s, d)
-    return b.join(c, b.quote == c.text).select("query_id", "document_id", "quote").distinct()
+    """Passages, of any length but blank, that a document's text holds whole, across lines too. Spark
+    sends the questions to all documents, or pairs blocks of both where they are many."""
+    b = _read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote")).where(T.collapse(F.col("text")) != "")
+    c = _read(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return c.join(b, F.contains("text", "quote")).select("query_id", "document_id", "quote").distinct()
 
 
 GOLD = "gold AS (SELECT DISTINCT query_id, document_id, quote FROM (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS quote FROM benchmark) b JOIN chunks ON chunks.text = b.quote WHERE length(quote) >= 20)"

@@ -164,3 +164,14 @@ def test_settings(tmp_path):
     f.write_text('thinking = "yes"')
     with pytest.raises(ValueError):
         settings.load_settings(str(f), {})
+
+
+def test_gold_is_contained(spark, tmp_path):
+    """Short passages, parts of lines and passages over several lines are gold; blank ones are not."""
+    from quillon.plans import queries
+
+    spark.createDataFrame([(1, "before. short one, after"), (2, "x first line\nsecond line y"), (3, "neither"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "short one"), (2, "first line\nsecond line"), (3, "absent"), (4, " "), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, queries._gold(spark, str(tmp_path)).collect())) == [(1, 1, "short one"), (2, 2, "first line\nsecond line")]
+    recall = queries.QUERIES["evidence_recall"][0](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.n_gold) for r in recall) == [(1, 1), (2, 1)]
