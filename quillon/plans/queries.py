@@ -95,8 +95,9 @@ sec AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END I
 
 
 def _sections(s, d) -> DataFrame:
-    """Lines with headings put in by rule, since the supplied texts have none."""
-    line = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 25 == 24, "3 Results").when((i == 0) & (F.col("doc_id") % 2 == 0), "Abstract").otherwise(x))
+    """Lines with headings put in before some by rule, since the supplied texts have none; every line stays."""
+    put = lambda x, i: F.when(i % 25 == 24, F.array(F.lit("3 Results"), x)).when((i == 0) & (F.col("doc_id") % 2 == 0), F.array(F.lit("Abstract"), x)).otherwise(F.array(x))
+    line = F.flatten(F.transform(F.split("text", "\n", -1), put))
     docs = _read(s, d, "documents").where("text is not null").select("doc_id", F.array_join(line, "\n").alias("text"))
     return chunking.sections(chunking.blocks_of(docs))
 

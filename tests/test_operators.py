@@ -175,3 +175,17 @@ def test_gold_is_contained(spark, tmp_path):
     assert sorted(map(tuple, queries._gold(spark, str(tmp_path)).collect())) == [(1, 1, "short one"), (2, 2, "first line\nsecond line")]
     recall = queries.QUERIES["evidence_recall"][0](spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.n_gold) for r in recall) == [(1, 1), (2, 1)]
+
+
+def test_headings_keep_every_line(spark, tmp_path):
+    from quillon.plans import queries
+
+    texts = {2: "only line", 3: "\n".join(f"line {i}" for i in range(60)), 4: "\n".join(f"line {i}" for i in range(50))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {k: [] for k in texts}
+    for r in queries._sections(spark, str(tmp_path)).orderBy("document_id", "ord").collect():
+        rows[r.document_id].append((r.kind, r.text))
+    assert {k: "\n".join(t for kind, t in v if kind == "text") for k, v in rows.items()} == texts
+    assert rows[2][0] == ("heading", "Abstract") and [i for i, (kind, _) in enumerate(rows[3]) if kind == "heading"] == [24, 50]
+    chunks = "\n".join(r.text for r in chunking.pack(queries._sections(spark, str(tmp_path))).collect())
+    assert sorted(chunks.split("\n")) == sorted("\n".join(texts.values()).split("\n"))
