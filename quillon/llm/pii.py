@@ -5,9 +5,9 @@ they take linear time; \G and look-behind keep the matches what the plain forms
 they pass their test (parts up to 255, Luhn, number of digits).
 
 The method: candidates are words that hold a digit or an @. A candidate that overlaps a base span
-is a seed of its kind. The words around a candidate (two before; one before with one after) are
-patterns, its text with digits folded to 0 kept apart is the instance; distinct (pattern, instance)
-pairs are the graph's edges. A pattern's confidence is the mean score of its instances, an
+is a seed of its kind. The words around a candidate (two before; one before with one after; digits
+folded to 0, other candidates included) are patterns, its text in lower case is the instance;
+distinct (pattern, instance) pairs are the graph's edges. A pattern's confidence is the mean score of its instances, an
 instance's score one minus the product of its patterns' doubts (seeds stay at 1); ROUNDS rounds.
 Patterns with MIN_SEEDS distinct seeds of one kind and confidence of MIN_CONF add their other
 candidates as spans of that kind.
@@ -64,22 +64,29 @@ TESTS = {
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, stop, found, before, after) of all matches, before and after the gaps."""
+    """Array of (start, stop, found) of all matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    parts = F.arrays_zip(found.alias("f"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("b"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("a"))
-    kind = "array<struct<start:long,stop:long,found:string,before:string,after:string>>"
+    parts = F.arrays_zip(found.alias("f"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("b"))
+    kind = "array<struct<start:long,stop:long,found:string>>"
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
         stop = start + F.length(x["f"])
-        tail, lead = F.substring(x["b"], -120, 120), F.substring(x["a"], 1, 60)
-        item = F.struct(start.alias("start"), stop.alias("stop"), x["f"].alias("found"), tail.alias("before"), lead.alias("after"))
+        item = F.struct(start.alias("start"), stop.alias("stop"), x["f"].alias("found"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
     return F.aggregate(parts, empty, add)["out"]
 
 
+def _context(text: Column) -> Column:
+    """Array of (far, near, next) of all candidates, in order: two words before and one after in the
+    whole text, whatever they are, empty where there is none."""
+    words, none = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0), F.array(F.lit(""))
+    moved = F.arrays_zip(words.alias("w"), F.concat(none, none, words).alias("far"), F.concat(none, words).alias("near"), F.concat(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), none).alias("next"))
+    return F.filter(moved, lambda x: F.coalesce(x["w"].rlike("[0-9@]"), F.lit(False)))
+
+
 def _base(text: Column) -> Column:
     def spans(no: int, kind: str) -> Column:
         ok = F.filter(_matches(text, PATTERNS[kind]), lambda m: TESTS[kind](m["found"]))
@@ -103,20 +110,19 @@ def found_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), text.rlike("[0-9@]").alias("any"))
     none = F.expr(f"cast(array() as {SPAN})")
     rows = rows.withColumn("base", F.when(F.col("any"), _base(F.col("text"))).otherwise(none))
-    before, after = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
     fold = lambda x: F.regexp_replace(F.lower(x), "[0-9]", "0")
 
-    def candidate(m: Column) -> Column:
+    def candidate(m: Column, c: Column) -> Column:
         kind = F.expr("cast(null as int)")
         hit = F.filter(F.col("base"), lambda s: (s["start"] < m["stop"]) & (s["stop"] > m["start"]))
         return F.struct(
             m["start"].alias("start"), m["stop"].alias("stop"), F.lower(m["found"]).alias("surface"),
-            fold(F.regexp_extract(m["before"], before, 1)).alias("far"), fold(F.regexp_extract(m["before"], before, 2)).alias("near"), fold(F.regexp_extract(m["after"], after, 1)).alias("next"),
+            fold(c["far"]).alias("far"), fold(c["near"]).alias("near"), fold(c["next"]).alias("next"),
             F.when(F.size(hit) > 0, F.element_at(hit, F.least(F.size(hit), F.lit(1)))["kind"]).otherwise(kind).alias("seed"),
         )
 
     kind = "array<struct<start:long,stop:long,surface:string,far:string,near:string,next:string,seed:int>>"
-    rows = rows.withColumn("candidates", F.when(F.col("any"), F.transform(_matches(F.col("text"), CANDIDATE), candidate)).otherwise(F.expr(f"cast(array() as {kind})")))
+    rows = rows.withColumn("candidates", F.when(F.col("any"), F.zip_with(_matches(F.col("text"), CANDIDATE), _context(F.col("text")), candidate)).otherwise(F.expr(f"cast(array() as {kind})")))
     return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "base", "candidates")
 
 
