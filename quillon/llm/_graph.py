@@ -24,8 +24,8 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) of any order -> (node, component), component the least node reachable. Nodes
+def components(edges: DataFrame) -> Table:
+    """edges (u, v) of any order -> table (node, component), component the least node reachable. Nodes
     without a link to another node are absent. Each round is a table in the shared folder."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = Table(edges, "edges")
@@ -35,4 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         now.drop()
         now, before, state = after, state, _state(after.df)
         if state == before:
-            return now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+            stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = Table(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+            now.drop()
+            return out

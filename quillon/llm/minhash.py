@@ -4,13 +4,19 @@ Sketch: every shingle goes into each of 128 buckets under that bucket's own hash
 keeps only the leading-zero count (6 bits) and the next 10 bits of its least hash, 16 bits in all.
 Four consecutive registers form a band's key (32 bands), so a pair of similarity 0.8 shares no band
 with probability (1 - 0.8^4)^32 = 5e-8, and accidental collisions only add candidates. A candidate
-is dropped if its collision-corrected estimate is below the threshold by more than six standard
-deviations; all others are decided on the full sets.
+is dropped if its sizes rule the threshold out, or its collision-corrected estimate is below the
+threshold by more than six standard deviations; all others are decided on the full sets.
 
 Texts with equal shingle sets are one class and enter the search once. Within a band's bucket all
-classes are compared with one of them, the hub; the linked ones merge, and only buckets that still
-hold several components go on, with more pivots each round. So a bucket of a thousand near copies
-costs about a thousand comparisons, and every pair in different components is compared in the end.
+classes are compared with one of them, the hub: the class that meets the most others over all its
+buckets, which in a group of near copies is the one closest to their common origin. Linked classes
+merge. A bucket whose members are not all in its hub's component is mixed, and can still hide
+links of its minor members, those outside the hub's component. These are found by an exact join:
+over the members of mixed buckets, shingles are ordered from the rarest on, a link must have its
+first common shingle within both sets' prefixes, and enough must remain of both sets after it.
+Only a minor member is joined with others, and only across components. So a group of a thousand
+near copies costs about a thousand comparisons, and every pair of a bucket ends in one component,
+or compared, or ruled out by a bound.
 
 Nulls: a null text is empty. An empty document has 0 shingles and links with nothing. A null
 doc_id is carried along and never becomes a component_id unless all of a component are null.
@@ -31,7 +37,7 @@ from pyspark.sql.window import Window
 
 from . import _text
 from ._graph import components
-from ._shared import Table, read
+from ._shared import Table, free, read
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 ROWS = REGISTERS // BANDS
@@ -82,15 +88,15 @@ def _sketch(batches, k: int, lower: bool):
             n.append(len(s))
             key.append(_key(s))
             regs.append(registers(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "key", "regs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "hash", "n_shingles", "key", "regs"])
 
 
 def _full(batches, k: int, lower: bool):
     for batch in batches:
-        rows = [(_key(s), s.tobytes()) for _, s in _sets(batch.column("text"), k, lower)]
-        keep = [x[0] == w for x, w in zip(rows, batch.column("key").to_pylist(), strict=True)]
-        node = batch.column("node").filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([node, pa.array([x[1] for x, ok in zip(rows, keep, strict=True) if ok], pa.binary())], ["node", "shingles"])
+        sets = [s for _, s in _sets(batch.column("text"), k, lower)]
+        offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["node", "shingles"])
 
 
 def _likely(batches, least: float):
@@ -105,7 +111,7 @@ def _linked(batches, num: int, den: int):
     for b in batches:
         ok = []
         for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             same = int((both[1:] == both[:-1]).sum())
@@ -113,73 +119,118 @@ def _linked(batches, num: int, den: int):
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, one row per row.
-
-    Links documents whose sets of distinct k-word shingles have den * intersection >= num * union;
-    component_id is the least doc_id that links reach, kept whether it is the row's own."""
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType
-    id_ddl = kind.simpleString()
-    sketch = Table(docs.mapInArrow(partial(_sketch, k=k, lower=lower), f"doc_id {id_ddl}, n_shingles long, key binary, regs binary"), "sketch").df
-    classes = Table(
-        sketch.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id()),
-        "classes",
-    ).df
+def _buckets(classes: DataFrame) -> Table:
+    """bucket, node, hub of every class that shares a bucket."""
     bands = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "part")).select("node", F.xxhash64("band", "part").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-    buckets = Table(bands.join(shared, "bucket").select("bucket", "node", "hub"), "buckets")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = Table(bands.join(sizes, "bucket"), "shared")
+    meets = shared.df.groupBy("node").agg(F.sum("size").alias("meets"))
+    hubs = shared.df.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("hub"))
+    out = Table(shared.df.join(hubs, "bucket").select("bucket", "node", "hub"), "buckets")
+    shared.drop()
+    return out
+
+
+def _mixed(buckets: DataFrame, part: DataFrame) -> DataFrame:
+    """node, component, minor of the members of mixed buckets."""
+    hub = part.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    named = buckets.join(part, "node", "left").join(hub, "hub", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("component", "node") != F.coalesce("main", "hub")).alias("minor"))
+    mixed = named.where("minor").select("bucket").distinct()
+    return named.join(mixed, "bucket", "left_semi").groupBy("node").agg(F.min("component").alias("component"), F.max("minor").alias("minor"))
+
+
+def _prefix_pairs(sets: DataFrame, num: int, den: int) -> Table:
+    """sets (node, component, minor, shingles) -> pairs (a, b) of different components, one of them
+    minor, that a similarity of num / den does not rule out."""
+    tokens = sets.select("node", "component", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("minor").alias("any")).where("df > 1").selectExpr("token", "df", "lo <> hi and any as open")
+    own = Window.partitionBy("node")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
+    prefix = tokens.join(common, "token").withColumn("at", at).where(f"open and at <= n - ({num} * n + {den - 1}) div {den}")
+    prefix = Table(prefix.select("token", "node", "component", "minor", "n", (F.col("n") - F.col("at")).alias("rest")), "prefix")
+    x, y = prefix.df.where("minor").alias("x"), prefix.df.alias("y")
+    enough = F.expr(f"least(x.rest, y.rest) >= ({num} * (x.n + y.n) + {num + den - 1}) div {num + den}")
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.component <> y.component and (x.node < y.node or not y.minor)") & enough)
+    out = Table(both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    prefix.drop()
+    return out
+
+
+def _labels(docs: DataFrame, k: int, num: int, den: int, lower: bool) -> Table:
+    """doc_id, hash (of the text), n_shingles, component, least (the least doc_id of the component),
+    own (of equal ids, the least hash), a row per row; component and the rest are null without shingles."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketch = Table(docs.mapInArrow(partial(_sketch, k=k, lower=lower), f"doc_id {kind}, hash long, n_shingles long, key binary, regs binary"), "sketch")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    classes = Table(sketch.df.where("n_shingles > 0").groupBy("key").agg(first.alias("rep"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = _buckets(classes.df)
+    need = buckets.df.select("node").distinct().join(classes.df.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"))
+    texts = docs.join(need, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("node", "text")
+    full = Table(texts.mapInArrow(partial(_full, k=k, lower=lower), "node long, shingles array<long>").dropDuplicates(["node"]), "full")
     least = num / den - 6 * (num / den * (1 - num / den) / REGISTERS) ** 0.5
+    side = lambda s: classes.df.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
 
     def links(pairs: DataFrame) -> Table:
-        side = lambda s, c: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-        likely = Table(pairs.join(side("a", pairs), "a").join(side("b", pairs), "b").mapInArrow(partial(_likely, least=least), "a long, b long"), "likely")
-        need = likely.df.select(F.col("a").alias("node")).unionByName(likely.df.select(F.col("b").alias("node"))).distinct()
-        need = need.join(classes.select("node", "key", "rep"), "node")
-        texts = docs.join(need, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "key", "text")
-        full = Table(texts.mapInArrow(partial(_full, k=k, lower=lower), "node long, shingles binary"), "full")
-        one = full.df.groupBy("node").agg(F.first("shingles").alias("shingles")) if full.df.select("node").distinct().count() != full.df.count() else full.df
-        both = likely.df.join(one.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
+        likely = Table(sized.mapInArrow(partial(_likely, least=least), "a long, b long"), "likely")
+        both = likely.df.join(full.df.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.df.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         out = Table(both.mapInArrow(partial(_linked, num=num, den=den), "a long, b long"), "links")
         likely.drop()
-        full.drop()
         return out
 
-    found = [links(buckets.df.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())]
-    done, step = 1, 8
-    while True:
-        edges = found[0].df
-        for t in found[1:]:
-            edges = edges.unionByName(t.df)
-        part = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = buckets.df.join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {done}").select("bucket")
-        ranked = named.join(mixed, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        open_ = Table(ranked.where(f"rank > {done}"), "open")
-        pivots = open_.df.where(f"rank <= {done + step}").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        pairs = Table(pivots.join(open_.df, "bucket").where("rank > ra and ca <> component").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        empty = pairs.df.isEmpty()
-        if not empty:
-            found.append(links(pairs.df))
-        left = not open_.df.where(f"rank > {done + step}").isEmpty()
-        open_.drop()
-        pairs.drop()
-        if empty and not left:
-            break
-        done, step = done + step, step * 4
-    buckets.drop()
-    named = classes.join(part, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = named.join(lowest, "component").select("key", "component_id")
-    own = F.coalesce("component_id", "doc_id")
-    return sketch.join(label, "key", "left").select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    found = links(buckets.df.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    part = components(found.df.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    mixed = Table(_mixed(buckets.df, part.df), "mixed")
+    pairs = _prefix_pairs(mixed.df.join(full.df, "node"), num, den)
+    more = links(pairs.df)
+    for t in (buckets, mixed, pairs, full):
+        t.drop()
+    if not more.df.isEmpty():
+        stars = part.df.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        after = components(stars.unionByName(more.df.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        part.drop()
+        part = after
+    named = classes.df.join(part.df, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("rep"))
+    label = named.select("key", "component").join(lowest, "component").select("key", "component", F.col("rep.doc_id").alias("least"), F.col("rep.hash").alias("own"))
+    out = Table(sketch.df.select("doc_id", "hash", "n_shingles", "key").join(label, "key", "left").drop("key"), "groups")
+    for t in (sketch, classes, found, more, part):
+        t.drop()
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, one row per row.
+
+    Links documents whose sets of distinct k-word shingles have den * intersection >= num * union;
+    component_id is the least doc_id that links reach, kept whether it is the row's own."""
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return _labels(docs, k, num, den, lower).df.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without near copies: of each group the row with the least doc_id stays (a null one only
+    if all are null; of rows with that id, the text of least hash; of equal rows, one). Documents
+    without words are in no group and all stay. Judged row by row: other rows of a doc_id stay."""
+    groups = _labels(docs, k, num, den, True)
+    rows = groups.df.where("component is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.max(F.col("least").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("hash"))).alias("stays"))
+    told = Table(rows.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays"), "told")
+    groups.drop()
+    id_, hash_, stays = (free(docs, c) for c in ("_id", "_hash", "_stays"))
+    told_ = told.df.toDF(id_, hash_, stays)
+    marked = docs.join(told_, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
+    out = marked.where(F.col(stays).isNull()).select(*docs.columns)
+    if told.df.where("stays").isEmpty():
+        return out
+    row = F.struct(*docs.columns)
+    one = marked.where(stays).groupBy(id_, hash_).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return out.unionByName(one)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group (five words, 0.8): the one with the least doc_id."""
-    out = near_duplicates(docs, k=5)
-    lose = out.where("not kept").select("doc_id").distinct()
-    return docs.join(lose, "doc_id", "left_anti")
+    """Keeps one document of each group (five words, 0.8); see one_of_each for nulls, ties and repeats."""
+    return one_of_each(docs)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
