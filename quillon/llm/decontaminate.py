@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import Table, read
+from ._shared import read
 
 K, NUM, DEN, RADIUS, BLOCKS, ITEMS, CHUNK = 5, 80, 100, 15, 4, 4096, 16384
 _NEAR = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), r)], dtype=np.uint16)
@@ -147,23 +147,36 @@ def _search(batches, items: Items):
         yield pa.RecordBatch.from_arrays([ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.float64())], ["doc_id", "item_id", "start", "similarity"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (first word of the best window) and similarity of each pair of a
-    document and a benchmark item that it holds."""
-    docs = docs.select("doc_id", "text")
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, start long, similarity double"
-    parts, block = [], []
+def _clean(batches, items: Items):
+    """Rows whose text holds none of the items."""
+    for batch in batches:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for i, _, data, offs in _text.blocks(batch.column("text")):
+            data = _text.LOWER[data]
+            starts, ends, first = _text.words(data, offs)
+            if len(starts):
+                keep[[i + d for d, *_ in items.search(_text.hashes(data, starts, ends), first)]] = False
+        yield batch.filter(pa.array(keep))
 
-    def flush() -> None:
-        parts.append(docs.mapInArrow(partial(_search, items=Items(block)), ddl))
-        block.clear()
 
+def _item_blocks(benchmark: DataFrame):
+    """The benchmark in blocks of ITEMS items; one empty block if it has none."""
+    block, some = [], False
     for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == ITEMS:
-            flush()
-    if block or not parts:
-        flush()
+            yield Items(block)
+            block, some = [], True
+    if block or not some:
+        yield Items(block)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start (first word of the best window) and similarity of each pair of a
+    document and a benchmark item that it holds."""
+    docs = docs.select("doc_id", "text")
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, start long, similarity double"
+    parts = [docs.mapInArrow(partial(_search, items=items), ddl) for items in _item_blocks(benchmark)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -172,9 +185,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    hits = Table(leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks").df
-    return docs.join(hits, "doc_id", "left_anti")
+    """Documents without a benchmark passage. Each row is judged by its own text, so null and repeated
+    ids need no rule; rows of null or empty text stay."""
+    for items in _item_blocks(read(spark, sf_dir, "benchmark")):
+        docs = docs.mapInArrow(partial(_clean, items=items), docs.schema)
+    return docs
 
 
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
