@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +38,29 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow stages that are planned and run inside get batches of about size: two tasks of an executor
+    hold a batch, its copy in a Python worker and the answer at once."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
+
+
 class Table:
     """A DataFrame written as Parquet to the shared folder. df reads it; drop() removes it early."""
 
     def __init__(self, df: DataFrame, name: str = "t"):
         self.spark = df.sparkSession
         self.path = f"{folder(self.spark)}/quillon-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with small_batches(self.spark):
+            df.write.parquet(self.path)
         _written.append((self.spark, self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -150,13 +150,12 @@ def _search(batches, items: Items):
 def _clean(batches, items: Items):
     """Rows whose text holds none of the items."""
     for batch in batches:
-        keep = np.ones(batch.num_rows, dtype=bool)
-        for i, _, data, offs in _text.blocks(batch.column("text")):
-            data = _text.LOWER[data]
+        for i, j, data, offs in _text.blocks(batch.column("text")):
+            keep, data = np.ones(j - i, dtype=bool), _text.LOWER[data]
             starts, ends, first = _text.words(data, offs)
             if len(starts):
-                keep[[i + d for d, *_ in items.search(_text.hashes(data, starts, ends), first)]] = False
-        yield batch.filter(pa.array(keep))
+                keep[[d for d, *_ in items.search(_text.hashes(data, starts, ends), first)]] = False
+            yield batch.slice(i, j - i).filter(pa.array(keep))
 
 
 def _item_blocks(benchmark: DataFrame):

@@ -93,10 +93,12 @@ def _sketch(batches, k: int, lower: bool):
 
 def _full(batches, k: int, lower: bool):
     for batch in batches:
-        sets = [s for _, s in _sets(batch.column("text"), k, lower)]
-        offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["node", "shingles"])
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [s for _, s in _sets(part.column("text"), k, lower)]
+            offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["node", "shingles"])
 
 
 def _likely(batches, least: float):

@@ -207,8 +207,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _verdict(machine: Machine):
     def toxic(batches):
         for batch in batches:
-            out = [machine.score(n, doc, bucket) for _, n, doc, bucket in _terms(batch.column("text"))]
-            yield batch.filter(pa.array(np.concatenate(out) < 0.5 if out else np.zeros(0, bool)))
+            for i, n, doc, bucket in _terms(batch.column("text")):
+                yield batch.slice(i, n).filter(pa.array(machine.score(n, doc, bucket) < 0.5))
 
     return toxic
 
