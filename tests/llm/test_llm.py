@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,20 +166,53 @@ def test_lm(docs, empty):
 
 
 def test_lm_trains_on_all(docs, monkeypatch):
-    """Every training document's words and end reach the attention parameters, in every round."""
+    """Every id and end of every training document is a target of the attention once."""
     seen = []
 
     class Held(lm.Table):
         def __init__(self, df, name):
             super().__init__(df, name)
-            if self.df.columns == ["rows", "sizes", "classes"]:
-                seen.append(sorted(len(r.classes) // 2 for r in self.df.collect()))
+            if name == "local":
+                seen.extend(r.weight for r in self.df.collect())
 
     monkeypatch.setattr(lm, "Table", Held)
     lm.score_texts(docs).count()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    assert seen == [sorted(len((t or "").split()) + 1 for i, t, _ in ROWS if not held(i))]
-
+    want = sum(len(lm.spell((t or "").lower().encode().split(), lm.tokenizer_path())[0]) + 1 for i, t, _ in ROWS if not held(i))
+    assert sum(seen) == want
+
+
+def test_lm_attention():
+    """Windows and masks against attention over each text alone, and the gradient against differences."""
+    rng_ = np.random.default_rng(1)
+    length = np.array([1, 40, 3, 70])
+    read, target = rng_.integers(0, 50, length.sum()).astype(np.int32), rng_.integers(0, lm.CLASSES, length.sum()).astype(np.int8)
+    doc = np.repeat(np.arange(4, dtype=np.int32), length)
+    table = rng_.normal(0, 0.5, (lm.IDS + 1, lm.DIM)).astype(np.float32)
+    params = [rng_.normal(0, 0.3, p.shape).astype(np.float32) for p in lm.initial(np.zeros((lm.DIM, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32))]
+    model, grads = lm.Model({"table": table}), []
+    logp, opens = lm._run(model, params, lm.Stream(read, target, doc), lambda e, total, inner, live: grads.append(lm.gradient(e, total, inner, live, params)))
+    wq, wk, wv, place, wo, bo = params
+    begin = np.cumsum(length) - length
+    for j in range(len(read)):
+        block, at = divmod(j, lm.STRIDE)
+        back = np.arange(max((block - 1) * lm.STRIDE, begin[doc[j]], 0), j + 1)
+        x = table[read]
+        s = (x[j] @ wq) @ (x[back] @ wk).T / lm.DIM**0.5 + place[at, back - (block - 1) * lm.STRIDE]
+        a = np.exp(s - s.max())
+        z = np.concatenate([x[j], (a / a.sum()) @ (x[back] @ wv)]) @ wo + bo
+        z -= np.log(np.exp(z).sum())
+        assert abs(z[target[j]] - logp[j]) < 1e-4 and abs(np.log(np.exp(z[: lm.CLASSES // 2]).sum()) - opens[j]) < 1e-4
+    loss = lambda: -float(lm._run(model, params, lm.Stream(read, target, doc))[0].astype(np.float64).mean())
+    for p, g in zip(params, grads[0], strict=True):
+        for at in zip(*(rng_.integers(0, n, 5) for n in p.shape), strict=True):
+            old = p[at]
+            p[at] = old + 0.05
+            up = loss()
+            p[at] = old - 0.05
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 0.1 - g[at]) < 2e-3
 
 def test_html():
     page = "<title>t</title><p>A <b>b</b><br>c<p>d<ul><li>x<li>y</ul><table><caption>Cap<tr><th>H<th>Long<tr><td>1<td>2</table><div style='display:none'>no</div><script>'</p>'</script>e &amp; f"
