@@ -23,7 +23,7 @@ import numpy as np
 
 from . import _text
 
-CAP, MEMORY = 511, 1 << 24
+CAP, MEMORY = 511, 1 << 19
 BIG = np.int32(1 << 20)
 
 

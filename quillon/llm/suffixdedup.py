@@ -9,9 +9,18 @@ stretch in the corpus holds no repeat. Of what is left, one stretch of each kind
 shard, where the induced sorter (induced.py) orders all suffixes with common-prefix values:
 windows that share LENGTH bytes and start at different places are repeats.
 
+An anchor of more than HOT different stretches is not sent to one task: the windows of its stretches
+are hashed one by one, and hashes that occur twice, counted by partial aggregation, are repeats. All
+windows of a stretch hold its anchor, so what its repeated windows cover is one range.
+
+The same windows over words instead of bytes (PASSAGE words, grams of GRAM words) tell which documents
+hold a passage of more than 50 words that another document holds too, however short the words; there
+all stretches that equal counts don't settle go by the windows' hashes.
+
 Nulls: a null text is empty; a null doc_id is carried. Rows of equal doc_id and text are repeats
-of each other; rows of equal doc_id and other text are kept apart. Texts under LENGTH bytes have
-no windows. Other columns are ignored. All hashes have 64 bits and stretches compare by two.
+of each other (but one document for passages); rows of equal doc_id and other text are kept apart.
+Texts under LENGTH bytes have no windows. Other columns are ignored. All hashes have 64 bits and
+stretches compare by two.
 """
 
 from __future__ import annotations
@@ -28,17 +37,28 @@ from . import _text
 from ._shared import Table, read
 from .induced import Induction
 
-LENGTH, K, BLOCK, SHARD = 400, 64, 1 << 18, 2 << 20
+LENGTH, K, BLOCK, SHARD, HOT = 400, 64, 1 << 18, 2 << 20, 256
+PASSAGE, GRAM = 51, 8
+#: Columns that tell a kind of stretch.
+KIND = ["unit", "anchor", "bytes", "lead", "count"]
+
 
+def _spans(values: np.ndarray):
+    """A function that hashes ranges of values."""
+    up, down = _text._Tables.get(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+    return lambda a, b: _text.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
-def _stretches(data: np.ndarray, offs: np.ndarray, length: int, k: int):
+
+def _stretches(values: np.ndarray, offs: np.ndarray, length: int, k: int):
     """(document, first window in it, windows, anchor's place after the first window, anchor hash,
-    hash of the bytes) of the stretches of a block."""
-    n = len(data)
+    hash of the values) of the stretches of a block of bytes or words."""
+    n = len(values)
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
-    grams = n - k + 1
-    h = _text.hashes(data, np.arange(grams), np.arange(grams) + k)
+    span, grams = _spans(values), n - k + 1
+    h = span(np.arange(grams), np.arange(grams) + k)
     bits = max(20, int(n).bit_length())
     low = np.uint64((1 << bits) - 1)
     m = (h & ~low) | np.arange(grams, dtype=np.uint64)
@@ -55,38 +75,53 @@ def _stretches(data: np.ndarray, offs: np.ndarray, length: int, k: int):
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(s) else np.zeros(0, np.int64)
     count = np.diff(np.append(new, len(s)))
     first, anchor = s[new], at[new]
-    return [doc[new], first - offs[doc[new]], count, anchor - first, h[anchor], _text.hashes(data, first, first + count - 1 + length)]
+    return [doc[new], first - offs[doc[new]], count, anchor - first, h[anchor], span(first, first + count - 1 + length)]
 
 
-def _scan(batches, length: int, k: int):
+def _scan(batches, length: int, k: int, passage: int):
     for batch in batches:
         parts = []
         for i, _, data, offs in _text.blocks(batch.column("text"), BLOCK):
-            x = _stretches(data, offs, length, k)
-            parts.append([x[0] + i, *x[1:]])
-        row, first, count, lead, h, c = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 6
+            both = [(0, _stretches(data, offs, length, k))]
+            if passage:
+                starts, ends, first = _text.words(data, offs)
+                both.append((1, _stretches(_text.hashes(data, starts, ends), first, passage, GRAM)))
+            parts += [[x[0] + i, np.full(len(x[0]), unit, np.int8), *x[1:]] for unit, x in both]
+        row, unit, first, count, lead, h, c = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 7
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("uid").take(take), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))],
-            ["doc_id", "uid", "first", "count", "lead", "anchor", "bytes"],
+            [batch.column("doc_id").take(take), batch.column("uid").take(take), *(pa.array(x.astype(np.int32)) for x in (unit, first, count, lead)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))],
+            ["doc_id", "uid", "unit", "first", "count", "lead", "anchor", "bytes"],
         )
 
 
-def _cut(batches, length: int):
-    """Bytes of the stretches that are wanted of each document."""
+def _cut(batches, length: int, passage: int):
+    """Of the stretches that are wanted of each document: their bytes, or the hashes of their windows."""
     for batch in batches:
-        data, offs = _text.utf8(batch.column("text"))
-        row, first, count, anchor, out = [], [], [], [], []
-        for i, want in enumerate(batch.column("want").to_pylist()):
-            for x in want:
-                a = offs[i] + x["first"]
-                row.append(i)
-                first.append(x["first"])
-                count.append(x["count"])
-                anchor.append(x["anchor"])
-                out.append(data[a : a + x["count"] - 1 + length].tobytes())
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("uid").take(take), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "uid", "first", "count", "anchor", "text"])
+        for i in range(0, batch.num_rows, 256):
+            yield _cut_part(batch.slice(i, 256), length, passage)
+
+
+def _cut_part(batch, length: int, passage: int):
+    data, offs = _text.utf8(batch.column("text"))
+    rows, texts, hashed = [], [], []
+    for i, want in enumerate(batch.column("want").to_pylist()):
+        text, spans = data[offs[i] : offs[i + 1]], {}
+        for x in want:
+            first, count, unit = x["first"], x["count"], x["unit"]
+            rows.append((i, unit, first, count, x["anchor"]))
+            texts.append(None if x["hot"] else text[first : first + count - 1 + length].tobytes())
+            if x["hot"]:
+                if unit not in spans:
+                    starts, ends, _ = _text.words(text, np.array([0, len(text)])) if unit else (None, None, None)
+                    spans[unit] = _spans(_text.hashes(text, starts, ends) if unit else text)
+                at = np.arange(first, first + count)
+                hashed.append(spans[unit](at, at + (passage if unit else length)).view(np.int64))
+            else:
+                hashed.append(None)
+    row, unit, first, count, anchor = zip(*rows, strict=True) if rows else [()] * 5
+    take = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("uid").take(take), *(pa.array(x, pa.int32()) for x in (unit, first, count)), pa.array(anchor, pa.int64()), pa.array(texts, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))], ["doc_id", "uid", "unit", "first", "count", "anchor", "text", "windows"])
 
 
 def repeats(texts: list[bytes], place: np.ndarray, length: int) -> list[np.ndarray]:
@@ -160,33 +195,43 @@ def _result(batches):
             starts = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
             out.append((len(text), int(gone.sum()), starts, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
         cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), batch.column("shares_passage")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs (doc_id, uid, text) -> doc_id, uid, lo, hi: byte ranges that other places repeat."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, passage: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, uid, text) -> (doc_id, uid, lo, hi), byte ranges that other places repeat, and with
+    passage the (uid) of documents that hold so many words in a row that another document holds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = Table(docs.mapInArrow(partial(_scan, length=length, k=k), f"doc_id {kind}, uid long, first int, count int, lead int, anchor long, bytes long"), "stretches").df
-    one = F.struct("doc_id", "uid", "first")
-    kinds = Table(found.groupBy("anchor", "bytes", "lead", "count").agg(F.count("*").alias("n"), F.min(one).alias("rep")), "kinds").df
-    several = kinds.where("n > 1").select("anchor", "bytes", "lead", "count")
-    same = found.join(several, ["anchor", "bytes", "lead", "count"], "left_semi").select("doc_id", "uid", F.col("first").alias("lo"), F.expr(f"first + count - 1 + {length}").alias("hi"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    want = kinds.join(mixed, "anchor").select("rep.*", "count", "anchor").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "count", "anchor")).alias("want"))
-    texts = docs.join(want.withColumnsRenamed({"doc_id": "_id", "uid": "_uid"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid"))).select("doc_id", "uid", "text", "want")
-    cut = texts.mapInArrow(partial(_cut, length=length), f"doc_id {kind}, uid long, first int, count int, anchor long, text binary")
-    sorted_ = cut.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "uid", "first")
-    other = sorted_.mapInArrow(partial(_shards, length=length), f"doc_id {kind}, uid long, lo int, hi int")
-    return same.unionByName(Table(other, "repeats").df)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per row."""
+    found = Table(docs.mapInArrow(partial(_scan, length=length, k=k, passage=passage), f"doc_id {kind}, uid long, unit int, first int, count int, lead int, anchor long, bytes long"), "stretches").df
+    kinds = Table(found.groupBy(*KIND).agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min(F.struct("doc_id", "uid", "first")).alias("rep")), "kinds").df
+    several = kinds.where("if(unit = 0, n > 1, lo <> hi)").select(*KIND)
+    same = found.join(several, KIND, "left_semi").select("doc_id", "uid", "unit", F.col("first").alias("lo"), F.expr(f"first + count - 1 + {length}").alias("hi"))
+    mixed = kinds.groupBy("unit", "anchor").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1 and (unit = 0 or lo <> hi)").select("unit", "anchor", (F.expr("unit = 1") | (F.col("kinds") > HOT)).alias("hot"))
+    want = kinds.join(mixed, ["unit", "anchor"]).select("rep.*", "unit", "count", "anchor", "hot").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("unit", "first", "count", "anchor", "hot")).alias("want"))
+    texts = docs.join(want.withColumnsRenamed({"doc_id": "_id", "uid": "_uid"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid"))).dropDuplicates(["doc_id", "uid"]).select("doc_id", "uid", "text", "want")
+    cut = Table(texts.mapInArrow(partial(_cut, length=length, passage=passage), f"doc_id {kind}, uid long, unit int, first int, count int, anchor long, text binary, windows array<long>"), "cut").df
+    sorted_ = cut.where("windows is null").drop("windows", "unit").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "uid", "first")
+    other = Table(sorted_.mapInArrow(partial(_shards, length=length), f"doc_id {kind}, uid long, lo int, hi int"), "repeats").df
+    # windows one by one: what repeats at another place, or in another document
+    one = cut.where("windows is not null").select("doc_id", "uid", "unit", "first", F.posexplode("windows").alias("at", "window"))
+    twice = one.groupBy("unit", "window").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("if(unit = 0, n > 1, lo <> hi)").select("unit", "window")
+    hot = Table(one.join(twice, ["unit", "window"], "left_semi").groupBy("doc_id", "uid", "unit", "first").agg(F.min("at").alias("a"), F.max("at").alias("b")), "windows").df
+    hot = hot.select("doc_id", "uid", "unit", F.expr("first + a").alias("lo"), F.expr(f"first + b + {length}").alias("hi"))
+    both = same.unionByName(hot)
+    spans = both.where("unit = 0").drop("unit").unionByName(other)
+    return spans, both.where("unit = 1").select("uid").distinct() if passage else None
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, passage: int = PASSAGE) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (a
+    passage of so many words stands in another document too), a row per row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs, length, k).distinct().groupBy("doc_id", "uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "uid": "_uid"})
+    ranges, shared = repeated_spans(docs, length, k, passage)
+    spans = ranges.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.join(shared.withColumn("shares", F.lit(True)), "uid", "full") if passage else spans.withColumn("shares", F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid")), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_result, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = docs.join(spans, "uid", "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
+    return both.mapInArrow(_result, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
