@@ -7,7 +7,9 @@ windows with the same anchor are one stretch (about 170 windows). Stretches of e
 counted by partial aggregation, which settles copies of any number; an anchor hash with a single
 stretch in the corpus holds no repeat. Of what is left, one stretch of each kind goes to its
 shard, where the induced sorter (induced.py) orders all suffixes with common-prefix values:
-windows that share LENGTH bytes and start at different places are repeats.
+windows that share LENGTH bytes and start at different places are repeats. A window reaches half of
+LENGTH - K bytes beyond its anchor on one side at least, so only stretches whose bytes on one side
+of the anchor equal another stretch's so far are sorted.
 
 An anchor of more than HOT different stretches is not sent to one task: the windows of its stretches
 are hashed one by one, and hashes that occur twice, counted by partial aggregation, are repeats. All
@@ -39,8 +41,6 @@ from .induced import Induction
 
 LENGTH, K, BLOCK, SHARD, HOT = 400, 64, 1 << 18, 2 << 20, 256
 PASSAGE, GRAM = 51, 8
-#: Columns that tell a kind of stretch.
-KIND = ["unit", "anchor", "bytes", "lead", "count"]
 
 
 def _spans(values: np.ndarray):
@@ -53,7 +53,7 @@ def _spans(values: np.ndarray):
 
 def _stretches(values: np.ndarray, offs: np.ndarray, length: int, k: int):
     """(document, first window in it, windows, anchor's place after the first window, anchor hash,
-    hash of the values) of the stretches of a block of bytes or words."""
+    hash of the values, of which the number of windows is a part) of the stretches of a block."""
     n = len(values)
     if n < length:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
@@ -88,40 +88,46 @@ def _scan(batches, length: int, k: int, passage: int):
                 both.append((1, _stretches(_text.hashes(data, starts, ends), first, passage, GRAM)))
             parts += [[x[0] + i, np.full(len(x[0]), unit, np.int8), *x[1:]] for unit, x in both]
         row, unit, first, count, lead, h, c = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 7
-        take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("uid").take(take), *(pa.array(x.astype(np.int32)) for x in (unit, first, count, lead)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))],
-            ["doc_id", "uid", "unit", "first", "count", "lead", "anchor", "bytes"],
+            [batch.column("uid").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (unit, first, count, lead)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))],
+            ["uid", "unit", "first", "count", "lead", "anchor", "bytes"],
         )
 
 
-def _cut(batches, length: int, passage: int):
-    """Of the stretches that are wanted of each document: their bytes, or the hashes of their windows."""
+def _cut(batches, length: int, k: int, passage: int):
+    """Of the stretches that are wanted of each document: their bytes, or the hashes of their windows;
+    and the hashes of what lies left and right of the anchor, as far as half a window reaches."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            yield _cut_part(batch.slice(i, 256), length, passage)
+            yield _cut_part(batch.slice(i, 256), length, k, passage)
 
 
-def _cut_part(batch, length: int, passage: int):
+def _cut_part(batch, length: int, k: int, passage: int):
     data, offs = _text.utf8(batch.column("text"))
-    rows, texts, hashed = [], [], []
+    rows, texts, hashed, left, right = [], [], [], [], []
     for i, want in enumerate(batch.column("want").to_pylist()):
-        text, spans = data[offs[i] : offs[i + 1]], {}
-        for x in want:
-            first, count, unit = x["first"], x["count"], x["unit"]
-            rows.append((i, unit, first, count, x["anchor"]))
-            texts.append(None if x["hot"] else text[first : first + count - 1 + length].tobytes())
-            if x["hot"]:
-                if unit not in spans:
-                    starts, ends, _ = _text.words(text, np.array([0, len(text)])) if unit else (None, None, None)
-                    spans[unit] = _spans(_text.hashes(text, starts, ends) if unit else text)
-                at = np.arange(first, first + count)
-                hashed.append(spans[unit](at, at + (passage if unit else length)).view(np.int64))
-            else:
-                hashed.append(None)
-    row, unit, first, count, anchor = zip(*rows, strict=True) if rows else [()] * 5
-    take = pa.array(row, pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("uid").take(take), *(pa.array(x, pa.int32()) for x in (unit, first, count)), pa.array(anchor, pa.int64()), pa.array(texts, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))], ["doc_id", "uid", "unit", "first", "count", "anchor", "text", "windows"])
+        text = data[offs[i] : offs[i + 1]]
+        for unit, window, gram in ((0, length, k), (1, passage, GRAM)):
+            mine = [x for x in want if x["unit"] == unit]
+            if not mine:
+                continue
+            values = _text.hashes(text, *_text.words(text, np.array([0, len(text)]))[:2]) if unit else text
+            span, reach = _spans(values), -(-(window - gram) // 2)
+            first, count, lead = (np.array([x[c] for x in mine], dtype=np.int64) for c in ("first", "count", "lead"))
+            at, last = first + lead, first + count - 1 + window
+            before, after = span(np.maximum(at - reach, first), at), span(at + gram, np.minimum(at + gram + reach, last))
+            for j, x in enumerate(mine):
+                rows.append((i, unit, x["first"], x["anchor"]))
+                left.append(int(before[j].view(np.int64)) if lead[j] >= reach else None)
+                right.append(int(after[j].view(np.int64)) if at[j] + gram + reach <= last[j] else None)
+                texts.append(None if x["hot"] else text[x["first"] : last[j]].tobytes())
+                w = np.arange(x["first"], x["first"] + x["count"])
+                hashed.append(span(w, w + window).view(np.int64) if x["hot"] else None)
+    row, unit, first, anchor = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays(
+        [batch.column("uid").take(pa.array(row, pa.int64())), pa.array(unit, pa.int32()), pa.array(first, pa.int32()), pa.array(anchor, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(texts, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))],
+        ["uid", "unit", "first", "anchor", "left", "right", "text", "windows"],
+    )
 
 
 def repeats(texts: list[bytes], place: np.ndarray, length: int) -> list[np.ndarray]:
@@ -154,31 +160,30 @@ def _shards(batches, length: int):
 
     def flush():
         ids, places, out = {}, [], []
-        for doc_id, uid, first, _, _, _ in rows:
-            places.append((ids.setdefault((doc_id, uid), len(ids)) << 40) + first)
-        for r, hits in zip(rows, repeats([r[5] for r in rows], np.array(places, dtype=np.int64), length), strict=True):
+        for uid, first, _, _ in rows:
+            places.append((ids.setdefault(uid, len(ids)) << 40) + first)
+        for r, hits in zip(rows, repeats([r[3] for r in rows], np.array(places, dtype=np.int64), length), strict=True):
             if len(hits):
                 edge = np.flatnonzero(np.diff(hits) > length)
                 lo, hi = hits[np.concatenate([[0], edge + 1])], hits[np.append(edge, len(hits) - 1)] + length
-                out += [(r[0], r[1], r[2] + int(a), r[2] + int(b)) for a, b in zip(lo, hi, strict=True)]
+                out += [(r[0], r[1] + int(a), r[1] + int(b)) for a, b in zip(lo, hi, strict=True)]
         return out
 
     for batch in batches:
         ready = []
-        for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "first", "count", "anchor", "text")), strict=True):
-            if size >= SHARD and r[4] != rows[-1][4]:
+        for r in zip(*(batch.column(c).to_pylist() for c in ("uid", "first", "anchor", "text")), strict=True):
+            if size >= SHARD and r[2] != rows[-1][2]:
                 ready += flush()
                 rows, size = [], 0
             rows.append(r)
-            size += len(r[5])
-        yield _ranges(ready, batch.schema)
-        schema = batch.schema
+            size += len(r[3])
+        yield _ranges(ready)
     if rows:
-        yield _ranges(flush(), schema)
+        yield _ranges(flush())
 
 
-def _ranges(rows, schema):
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.field("doc_id").type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], ["doc_id", "uid", "lo", "hi"])
+def _ranges(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["uid", "lo", "hi"])
 
 
 def _result(batches):
@@ -198,37 +203,50 @@ def _result(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), batch.column("shares_passage")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, passage: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """docs (doc_id, uid, text) -> (doc_id, uid, lo, hi), byte ranges that other places repeat, and with
-    passage the (uid) of documents that hold so many words in a row that another document holds."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = Table(docs.mapInArrow(partial(_scan, length=length, k=k, passage=passage), f"doc_id {kind}, uid long, unit int, first int, count int, lead int, anchor long, bytes long"), "stretches").df
-    kinds = Table(found.groupBy(*KIND).agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min(F.struct("doc_id", "uid", "first")).alias("rep")), "kinds").df
-    several = kinds.where("if(unit = 0, n > 1, lo <> hi)").select(*KIND)
-    same = found.join(several, KIND, "left_semi").select("doc_id", "uid", "unit", F.col("first").alias("lo"), F.expr(f"first + count - 1 + {length}").alias("hi"))
-    mixed = kinds.groupBy("unit", "anchor").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1 and (unit = 0 or lo <> hi)").select("unit", "anchor", (F.expr("unit = 1") | (F.col("kinds") > HOT)).alias("hot"))
-    want = kinds.join(mixed, ["unit", "anchor"]).select("rep.*", "unit", "count", "anchor", "hot").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("unit", "first", "count", "anchor", "hot")).alias("want"))
-    texts = docs.join(want.withColumnsRenamed({"doc_id": "_id", "uid": "_uid"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("uid") == F.col("_uid"))).dropDuplicates(["doc_id", "uid"]).select("doc_id", "uid", "text", "want")
-    cut = Table(texts.mapInArrow(partial(_cut, length=length, passage=passage), f"doc_id {kind}, uid long, unit int, first int, count int, anchor long, text binary, windows array<long>"), "cut").df
-    sorted_ = cut.where("windows is null").drop("windows", "unit").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "uid", "first")
-    other = Table(sorted_.mapInArrow(partial(_shards, length=length), f"doc_id {kind}, uid long, lo int, hi int"), "repeats").df
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, passage: int = 0) -> tuple[DataFrame, DataFrame]:
+    """docs (uid, text) -> (uid, lo, hi), byte ranges that other places repeat, and with passage the
+    (uid) of documents that hold so many words in a row that another document holds."""
+    found = Table(docs.mapInArrow(partial(_scan, length=length, k=k, passage=passage), "uid long, unit int, first int, count int, lead int, anchor long, bytes long"), "stretches")
+    # equal bytes have equal anchors, places of the anchor and numbers of windows; any member can stand for a kind
+    one = [F.first(c).alias(c) for c in ("unit", "uid", "first", "count", "lead")]
+    kinds = Table(found.df.groupBy("anchor", "bytes").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), *one), "kinds")
+    several = kinds.df.where("if(unit = 0, n > 1, lo <> hi)").select("anchor", "bytes")
+    same = found.df.join(several, ["anchor", "bytes"], "left_semi").select("uid", "unit", F.when(F.col("unit") == 0, F.col("first")).alias("lo"), F.expr(f"if(unit = 0, first + count - 1 + {length}, null)").alias("hi"))
+    same = Table(same.distinct(), "same").df
+    found.drop()
+    mixed = kinds.df.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1").selectExpr("anchor", "kinds", "lo <> hi as several")
+    want = kinds.df.drop("lo", "hi").join(mixed, "anchor").where("unit = 0 or several").select("uid", F.struct("unit", "first", "count", "lead", "anchor", F.expr(f"unit = 1 or kinds > {HOT}").alias("hot")).alias("want"))
+    want = want.groupBy("uid").agg(F.collect_list("want").alias("want"))
+    cut = docs.join(want, "uid").select("uid", "text", "want").mapInArrow(partial(_cut, length=length, k=k, passage=passage), "uid long, unit int, first int, anchor long, left long, right long, text binary, windows array<long>")
+    cut = Table(cut, "cut")
+    kinds.drop()
+    # a stretch is alone if on neither side of the anchor another stretch has the same
+    sides = [cut.df.where(F.col(c).isNotNull()).select("anchor", F.lit(c).alias("side"), F.col(c).alias("context")) for c in ("left", "right")]
+    shared = sides[0].unionByName(sides[1]).groupBy("anchor", "side", "context").count().where("count > 1")
+    for c in ("left", "right"):
+        with_ = shared.where(F.col("side") == c).select("anchor", F.col("context").alias(c), F.lit(True).alias(f"same_{c}"))
+        cut_ = (cut.df if c == "left" else cut_).join(with_, ["anchor", c], "left")  # noqa: F821
+    live = Table(cut_.where("same_left or same_right").select("uid", "unit", "first", "anchor", "text", "windows"), "live")
+    cut.drop()
+    sorted_ = live.df.where("windows is null").select("uid", "first", "anchor", "text").repartition("anchor").sortWithinPartitions("anchor", "uid", "first")
+    other = Table(sorted_.mapInArrow(partial(_shards, length=length), "uid long, lo int, hi int"), "repeats").df
     # windows one by one: what repeats at another place, or in another document
-    one = cut.where("windows is not null").select("doc_id", "uid", "unit", "first", F.posexplode("windows").alias("at", "window"))
-    twice = one.groupBy("unit", "window").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("if(unit = 0, n > 1, lo <> hi)").select("unit", "window")
-    hot = Table(one.join(twice, ["unit", "window"], "left_semi").groupBy("doc_id", "uid", "unit", "first").agg(F.min("at").alias("a"), F.max("at").alias("b")), "windows").df
-    hot = hot.select("doc_id", "uid", "unit", F.expr("first + a").alias("lo"), F.expr(f"first + b + {length}").alias("hi"))
-    both = same.unionByName(hot)
-    spans = both.where("unit = 0").drop("unit").unionByName(other)
-    return spans, both.where("unit = 1").select("uid").distinct() if passage else None
+    window = live.df.where("windows is not null").select("uid", "unit", "first", F.posexplode("windows").alias("at", "window"))
+    twice = window.groupBy("unit", "window").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("if(unit = 0, n > 1, lo <> hi)").select("unit", "window")
+    told = same.where("unit = 1").select("uid", "unit")
+    ask = window.join(told, ["uid", "unit"], "left_anti").join(twice, ["unit", "window"], "left_semi")
+    hot = Table(ask.groupBy("uid", "unit", "first").agg(F.min("at").alias("a"), F.max("at").alias("b")), "windows").df
+    live.drop()
+    spans = same.where("unit = 0").select("uid", "lo", "hi").unionByName(hot.where("unit = 0").select("uid", F.expr("first + a").alias("lo"), F.expr(f"first + b + {length}").alias("hi"))).unionByName(other)
+    return spans, told.select("uid").unionByName(hot.where("unit = 1").select("uid")).distinct()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, passage: int = PASSAGE) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (a
     passage of so many words stands in another document too), a row per row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    ranges, shared = repeated_spans(docs, length, k, passage)
-    spans = ranges.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.join(shared.withColumn("shares", F.lit(True)), "uid", "full") if passage else spans.withColumn("shares", F.lit(False))
+    ranges, shared = repeated_spans(docs.select("uid", "text"), length, k, passage)
+    spans = ranges.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(shared.withColumn("shares", F.lit(True)), "uid", "full")
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = docs.join(spans, "uid", "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares_passage"))
     return both.mapInArrow(_result, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean")
