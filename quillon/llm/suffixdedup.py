@@ -230,15 +230,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, passage: i
     cut.drop()
     sorted_ = live.df.where("windows is null").select("uid", "first", "anchor", "text").repartition("anchor").sortWithinPartitions("anchor", "uid", "first")
     other = Table(sorted_.mapInArrow(partial(_shards, length=length), "uid long, lo int, hi int"), "repeats").df
-    # windows one by one: what repeats at another place, or in another document
-    window = live.df.where("windows is not null").select("uid", "unit", "first", F.posexplode("windows").alias("at", "window"))
-    twice = window.groupBy("unit", "window").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("if(unit = 0, n > 1, lo <> hi)").select("unit", "window")
-    told = same.where("unit = 1").select("uid", "unit")
-    ask = window.join(told, ["uid", "unit"], "left_anti").join(twice, ["unit", "window"], "left_semi")
-    hot = Table(ask.groupBy("uid", "unit", "first").agg(F.min("at").alias("a"), F.max("at").alias("b")), "windows").df
+    # windows one by one: bytes that stand at another place
+    bytes_ = live.df.where("unit = 0 and windows is not null").select("uid", "first", F.posexplode("windows").alias("at", "window"))
+    twice = bytes_.groupBy("window").count().where("count > 1").select("window")
+    hot = Table(bytes_.join(twice, "window", "left_semi").groupBy("uid", "first").agg(F.min("at").alias("a"), F.max("at").alias("b")), "windows").df
+    spans = same.where("unit = 0").select("uid", "lo", "hi").unionByName(hot.select("uid", F.expr("first + a").alias("lo"), F.expr(f"first + b + {length}").alias("hi"))).unionByName(other)
+    # passages that stand in another document, for documents of which none is known yet
+    told = same.where("unit = 1").select("uid")
+    words = live.df.where("unit = 1").select("uid", F.explode("windows").alias("passage"))
+    shared = words.groupBy("passage").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi").select("passage")
+    more = Table(words.join(told, "uid", "left_anti").join(shared, "passage", "left_semi").select("uid").distinct(), "passages").df
     live.drop()
-    spans = same.where("unit = 0").select("uid", "lo", "hi").unionByName(hot.where("unit = 0").select("uid", F.expr("first + a").alias("lo"), F.expr(f"first + b + {length}").alias("hi"))).unionByName(other)
-    return spans, told.select("uid").unionByName(hot.where("unit = 1").select("uid")).distinct()
+    return spans, told.unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, passage: int = PASSAGE) -> DataFrame:
