@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "of", "to", "in", "on", "for", "and", "or", "with", "what", "which", "how", "does", "did", "this", "that", "from", "by", "as", "it", "paper", "study")
 # Headings of a paper's sections, after an optional number.
 HEADING = r"(?i)^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?(?:abstract|introduction|background|related work|methods?|methodology|experiments?|results?|discussion|conclusions?|limitations?|references|摘要|引言|背景|相关工作|方法|实验|结果|讨论|结论|局限性|参考文献)\s*$"
+# What a Latin term, a run of CJK letters and a number are.
 TERM = r"[a-z0-9]+(?:\.[0-9]+)?"
-CJK = "[一-鿿]+"
+CJK = r"[\u4e00-\u9fff]+"
 NUMBER = r"(?<![A-Za-z0-9.])[+-]?\p{Nd}+(?:\.\p{Nd}+)?%?(?![\p{Nd}.])"
 
+#: Letters that are lower case already but fold to others: to one letter, and to several.
+FOLDED = {c: f for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))) if c.lower() == c and (f := c.casefold()) != c}
+ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+MANY = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
 
 def fold(text: Column) -> Column:
-    """Case folding: lower case, and the two letters for which that differs in the texts at hand."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ſ", "s")
+    """Full case folding: lower case, then the letters that folding changes beyond that; those that fold
+    to several letters are looked for only in texts that hold one."""
+    low = F.translate(F.lower(text), "".join(ONE), "".join(ONE.values()))
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in MANY.items()))
+    spread = F.aggregate(pairs, low, lambda t, p: F.replace(t, p["c"], p["f"]))
+    return F.when(low.rlike(f"[{''.join(MANY)}]"), spread).otherwise(low)
 
 
 def tokens(text: Column) -> Column:

@@ -1,4 +1,5 @@
-"""Sections and chunks of ordered blocks (document_id, page, ord, kind, flow, text)."""
+"""Sections and chunks of ordered blocks (document_id, page, ord, kind, flow, text, and bbox and table where
+they come from pages)."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
+from quillon.operators.layout import BBOX, TABLE
 
 
 def blocks_of(documents: DataFrame, page_lines: int = 40) -> DataFrame:
@@ -23,39 +25,74 @@ def sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w), F.lit("Front matter")))
 
 
+def expand_tables(blocks: DataFrame, max_chars: int = 1400) -> DataFrame:
+    """Blocks with part (null, or the number of a part), boxes and id: a table whose text is too long becomes
+    several blocks, cut between rows, whose boxes are only those of the cells that they keep."""
+    b = blocks
+    for name, kind in (("bbox", BBOX), ("table", TABLE)):
+        if name not in b.columns:
+            b = b.withColumn(name, F.lit(None).cast(kind))
+    b = b.withColumn("id", F.concat(F.col("document_id").cast("string"), F.lit(":p"), F.col("page"), F.lit(":b"), F.col("ord")))
+    own = F.when(F.col("bbox").isNotNull(), F.array("bbox")).otherwise(F.expr(f"cast(array() as array<{BBOX}>)"))
+    long = (F.col("kind") == "table") & F.col("table").isNotNull() & (F.length("text") > max_chars)
+    rest = b.where(~F.coalesce(long, F.lit(False))).select("*", F.lit(None).cast("int").alias("part"), own.alias("boxes"))
+    if "table" not in blocks.columns:
+        return rest
+    cut = b.where(long)
+    parts = table_parts(cut.select("id", "text", F.col("table.caption").alias("caption"), F.col("table.rows").alias("rows")), max_chars).where("part is not null")
+    parts = parts.select(F.col("id").alias("_id"), "part", F.col("rows").alias("_rows"), F.col("text").alias("_text"))
+    each = cut.join(parts, F.col("id") == F.col("_id"))
+    table = F.struct(F.col("_rows").alias("rows"), F.col("table.extraction").alias("extraction"), F.col("table.caption").alias("caption")).cast(TABLE)
+    cols = {"text": F.col("_text"), "table": table, "id": F.concat("id", F.lit(":rows"), F.col("part"))}
+    return rest.unionByName(each.select(*(cols.get(c, F.col(c)).alias(c) for c in b.columns), "part", boxes_of(F.col("_rows")).alias("boxes")))
+
+
 def pack(blocks: DataFrame, max_chars: int = 1400) -> DataFrame:
     """Greedy packing of blocks of equal (page, section, kind, flow) into chunks of up to max_chars:
-    document_id, chunk_no, id, page, section, kind, text, block_ids."""
+    document_id, chunk_no, id, page, section, kind, text, block_ids, boxes, table. Headings end a chunk and are
+    left out; a table, or a part of one, is a chunk of its own and keeps its cells.
+
+    Chunks never cross a heading or a change of key, so each run between those is folded by itself."""
     if max_chars < 100:
         raise ValueError("max_chars must be at least 100")
-    item = F.struct("page", "ord", "section", "kind", "flow", "text", F.concat(F.col("document_id").cast("string"), F.lit(":p"), F.col("page"), F.lit(":b"), F.col("ord")).alias("id"))
-    docs = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("held"), F.lit("").alias("key"), F.expr("cast(array() as array<int>)").alias("nos"))
+    order = Window.partitionBy("document_id").orderBy("page", "ord", "part")
+    key = F.struct("page", "section", "kind", "flow")
+    rows = expand_tables(blocks, max_chars)
+    rows = rows.withColumn("new", F.coalesce((key != F.lag(key).over(order)).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind <> 'heading'")
+    item = F.struct("page", "ord", "part", "section", "kind", "text", "id", "boxes", "table")
+    runs = rows.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["ord"] != b["ord"], a["ord"] - b["ord"]).otherwise(F.coalesce(a["part"] - b["part"], F.lit(0)))).alias("items"))
+    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("held"), F.expr("cast(array() as array<int>)").alias("nos"))
 
     def step(acc, b):
         n = F.length(b["text"])
-        key = F.concat_ws("\0", b["page"].cast("string"), b["section"], b["kind"], b["flow"])
-        fresh = (acc["held"] == 0) | (acc["key"] != key) | (acc["held"] + n > max_chars)
+        fresh = (acc["held"] == 0) | (acc["held"] + n > max_chars)
+        alone = (n >= max_chars) | (b["kind"] == "table")
         no = acc["no"] + fresh.cast("int")
-        held = F.when(n >= max_chars, 0).otherwise(F.when(fresh, 0).otherwise(acc["held"]) + n + 1)
-        head = b["kind"] == "heading"
-        return F.struct(
-            F.when(head, acc["no"]).otherwise(no).alias("no"), F.when(head, 0).otherwise(held).cast("int").alias("held"),
-            F.when(head, acc["key"]).otherwise(key).alias("key"), F.concat(acc["nos"], F.array(F.when(head, 0).otherwise(no))).alias("nos"),
-        )
-
-    numbered = docs.select("document_id", F.explode(F.arrays_zip(F.aggregate("items", start, step)["nos"].alias("no"), F.col("items").alias("b"))).alias("x"))
-    rows = numbered.where("x.no > 0").groupBy("document_id", F.col("x.no").alias("chunk_no")).agg(F.array_sort(F.collect_list("x.b")).alias("bs"))
+        held = F.when(alone, 0).otherwise(F.when(fresh, 0).otherwise(acc["held"]) + n + 1)
+        return F.struct(no.alias("no"), held.cast("int").alias("held"), F.concat(acc["nos"], F.array(no)).alias("nos"))
+
+    numbered = runs.select("document_id", "run", F.explode(F.arrays_zip(F.aggregate("items", start, step)["nos"].alias("no"), F.col("items").alias("b"))).alias("x"))
+    bs = F.array_sort(F.collect_list("x.b"), lambda a, b: F.when(a["ord"] != b["ord"], a["ord"] - b["ord"]).otherwise(F.coalesce(a["part"] - b["part"], F.lit(0))))
+    chunks = numbered.groupBy("document_id", "run", F.col("x.no").alias("no")).agg(bs.alias("bs"))
     first, text, ids = F.element_at("bs", 1), F.concat_ws("\n", F.col("bs.text")), F.col("bs.id")
-    return rows.select("document_id", "chunk_no", F.substring(F.sha2(F.concat(F.concat_ws("|", ids), F.lit("|"), text), 256), 1, 16).alias("id"), first["page"].alias("page"), first["section"].alias("section"), first["kind"].alias("kind"), text.alias("text"), ids.alias("block_ids"))
+    chunk_no = F.row_number().over(Window.partitionBy("document_id").orderBy("run", "no"))
+    id_ = F.substring(F.sha2(F.concat(F.concat_ws("|", ids), F.lit("|"), text), 256), 1, 16)
+    return chunks.select("document_id", chunk_no.alias("chunk_no"), id_.alias("id"), first["page"].alias("page"), first["section"].alias("section"), first["kind"].alias("kind"), text.alias("text"), ids.alias("block_ids"), F.flatten("bs.boxes").alias("boxes"), F.when(F.size("bs") == 1, first["table"]).alias("table"))
 
 
 def fixed_windows(blocks: DataFrame, size: int = 1400) -> DataFrame:
-    """Baseline: per page, the text of its blocks (each with a newline) cut every size characters."""
-    rows = blocks.where("kind <> 'heading'").groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("bs"))
-    rows = rows.select("document_id", "page", F.concat(F.array_join(F.col("bs.text"), "\n"), F.lit("\n")).alias("all"))
-    rows = rows.select("document_id", "page", "all", F.explode(F.sequence(F.lit(0), F.length("all") - 1, F.lit(size))).alias("start"))
-    return rows.select("document_id", "page", F.col("start").cast("long").alias("start"), F.substring("all", F.col("start") + 1, F.lit(size)).alias("text"))
+    """Baseline: per page, the text of its blocks (each with a newline) cut every size characters:
+    document_id, page, start, text, id, block_ids of the blocks that a window overlaps."""
+    item = F.struct("ord", "text", F.concat(F.col("document_id").cast("string"), F.lit(":p"), F.col("page"), F.lit(":b"), F.col("ord")).alias("id"))
+    rows = blocks.where("kind <> 'heading'").groupBy("document_id", "page").agg(F.array_sort(F.collect_list(item)).alias("bs"))
+    places = F.transform("bs", lambda b, i: F.struct(b["id"].alias("id"), F.aggregate(F.slice("bs", 1, i), F.lit(0), lambda n, x: n + F.length(x["text"]) + 1).alias("a"), (F.length(b["text"]) + 1).alias("n")))
+    rows = rows.select("document_id", "page", F.concat(F.array_join(F.col("bs.text"), "\n"), F.lit("\n")).alias("all"), places.alias("places"))
+    rows = rows.select("document_id", "page", "all", "places", F.explode(F.sequence(F.lit(0), F.length("all") - 1, F.lit(size))).alias("start"))
+    text = F.substring("all", F.col("start") + 1, F.lit(size))
+    met = F.transform(F.filter("places", lambda p: (p["a"] + p["n"] > F.col("start")) & (p["a"] < F.col("start") + size)), lambda p: p["id"])
+    id_ = F.substring(F.sha2(F.concat(F.lit("fixed:"), F.col("page"), F.lit(":"), F.col("start"), F.lit(":"), text), 256), 1, 16)
+    return rows.select("document_id", "page", F.col("start").cast("long").alias("start"), text.alias("text"), id_.alias("id"), met.alias("block_ids"))
 
 
 def table_parts(tables: DataFrame, max_chars: int = 1400) -> DataFrame:

@@ -1,7 +1,7 @@
 """BM25 over chunks, for whole batches of questions.
 
 chunks: (chunk_id, document_id, text); questions: (query_id, question). Statistics are narrow tables
-keyed by term; only terms of the questions reach the scores. scope="document" keeps N, average
+keyed by term; only terms of the questions reach a shuffle. scope="document" keeps N, average
 length and document frequencies apart by document_id, else the corpus is one.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from quillon.functions import text as T
 
 K1, B = 1.5, 0.75
+#: Up to so many distinct terms of questions are sent to all executors; beyond, joins shuffle.
+WANTED = 1 << 18
 
 
 def term_frequency(chunks: DataFrame) -> DataFrame:
@@ -33,6 +35,11 @@ def document_frequency(tf: DataFrame, scope: list[str]) -> DataFrame:
     return tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
 
 
+def chunk_frequency(chunks: DataFrame, scope: list[str]) -> DataFrame:
+    """Document frequencies straight from chunks: a chunk's terms are made distinct before any shuffle."""
+    return chunks.select(*scope, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy(*scope, "term").agg(F.count("*").alias("df"))
+
+
 def idf(df: DataFrame, size: DataFrame, scope: list[str]) -> DataFrame:
     joined = df.join(size, scope) if scope else df.crossJoin(F.broadcast(size))  # size: a single row
     return joined.withColumn("idf", F.expr("ln(1 + (n - df + 0.5D) / (df + 0.5D))"))
@@ -46,14 +53,28 @@ def top(scored: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
 
 
+def _wanted_counts(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """document_id, chunk_id, term, tf, length: terms of chunks that are wanted, and for each chunk a row of
+    the empty term. Texts are tokenised once; all that follows reads the same shuffled rows."""
+    toks = chunks.select("document_id", "chunk_id", T.tokens(F.col("text")).alias("toks")).select("document_id", "chunk_id", F.size("toks").cast("long").alias("length"), F.explode(F.concat("toks", F.array(F.lit("")))).alias("term"))
+    toks = toks.select("document_id", "chunk_id", "length", F.coalesce("term", F.lit("")).alias("term"))
+    kept = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    return toks.join(kept, "term", "left_semi").groupBy("document_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 5, scope: str = "corpus") -> DataFrame:
     """query_id, document_id, chunk_id, score, rank of the k best chunks of each question."""
     keys = ["document_id"] if scope == "document" else []
-    wanted = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("term"))
-    lengths = document_length(chunks)
-    tf = term_frequency(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
-    weights = idf(document_frequency(tf, keys), corpus_size(lengths, keys), keys)
-    rows = tf.join(weights, [*keys, "term"]).join(lengths.select("document_id", "chunk_id", "length"), ["document_id", "chunk_id"]).join(wanted, "term")
+    wanted = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("term")).select("query_id", F.coalesce("term", F.lit("")).alias("term"))
+    terms = wanted.select("term").distinct()
+    few = terms.limit(WANTED + 1).count() <= WANTED
+    send = F.broadcast if few and not keys else lambda x: x
+    counts = _wanted_counts(chunks, F.broadcast(terms) if few else terms)
+    # the row of the empty term counts chunks; its mark is an aggregate, so that no filter reaches below the shuffle
+    stats = counts.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("length").alias("total"), F.max(F.col("term") == "").alias("all"))
+    size = stats.where("all").select(*keys, F.col("df").alias("n"), F.expr("coalesce(nullif(total / df, 0D), 1D)").alias("average"))
+    weights = idf(stats.select(*keys, "term", "df"), size, keys)
+    rows = counts.join(send(weights), [*keys, "term"]).join(F.broadcast(wanted) if few else wanted, "term")
     part = F.expr(f"idf * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * length / average))")
     scored = rows.groupBy("query_id", "document_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
     return top(scored, k, ["query_id", *keys])
