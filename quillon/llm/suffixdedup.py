@@ -39,7 +39,7 @@ from . import _text
 from ._shared import Table, read
 from .induced import Induction
 
-LENGTH, K, BLOCK, SHARD, HOT = 400, 64, 1 << 18, 2 << 20, 256
+LENGTH, K, BLOCK, SHARD, HOT = 400, 64, 1 << 18, 2 << 20, 1 << 13
 PASSAGE, GRAM = 51, 8
 
 
