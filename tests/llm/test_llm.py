@@ -124,7 +124,7 @@ def test_pii_context(spark):
     """Words around a candidate come from the whole text: other candidates and long words too."""
     long = "x" * 200
     d = spark.createDataFrame([(1, "Call 020 7946\t0018 now"), (2, f"a {long} q@w.de {long}"), (3, "7"), (4, " no ")], "doc_id long, text string")
-    got = {r.doc_id: [(c.surface, c.far, c.near, c.next) for c in r.candidates] for r in pii.found_spans(d).collect()}
+    got = {r.doc_id: [(c.value, c.far, c.near, c.next) for c in r.candidates] for r in pii.found_spans(d).collect()}
     assert got[1] == [("020", "", "call", "0000"), ("7946", "call", "000", "0000"), ("0018", "000", "0000", "now")]
     assert got[2] == [("q@w.de", "a", long, long)] and got[3] == [("7", "", "", "")] and got[4] == []
 
