@@ -17,7 +17,7 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: A learnt stage has no SQL; tests hold the stages against brute force.
+#: A learnt stage has no SQL; tests hold the operators against brute force, near duplicates and leaks as stages.
 ORACLE_SQL = None
 
 
