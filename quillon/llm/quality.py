@@ -4,8 +4,10 @@ A line's features are bins of the shares of letters, capitals, digits and symbol
 words, of its word length and end mark, and whether it repeats an earlier line or consists of
 repeated five-word windows. The field has a weight per feature and label, a weight per pair of
 neighbouring labels and one per first label; it is trained in numpy by Adam on the likelihood of at
-most SAMPLE labelled documents (the least hashes of doc_id), whose lines take the document's quality
-label. Viterbi decoding labels the lines of every document; the share of words in content lines
+most SAMPLE labelled documents (the least hashes of doc_id). A line is boilerplate in a document of
+quality 0, and in one of quality 1 if it equals an earlier line there; all others are content. So
+labels change within documents, and the weights of pairs learn from it. Sequences of one label, of
+the other and of both weigh alike in all. Viterbi decoding labels the lines of every document; the share of words in content lines
 decides: kept from SHARE on. The base rules come first: few words, or many repeated windows.
 
 Nulls: a null text has no words and fails the base rules. Lines without a word carry no label.
@@ -131,20 +133,28 @@ class Field:
         return label
 
 
+def line_labels(quality: int, x: np.ndarray) -> np.ndarray:
+    """Training labels of a document's lines: its quality, but 0 for a line that equals an earlier one."""
+    return np.where(x[:, N - 2] > 0, 0, quality)
+
+
 def fit(rows: list[tuple[int, np.ndarray]]) -> Field:
-    """Trains on (label, line features) of documents, at most LINES lines a sequence."""
-    seqs = [(y, x[i : i + LINES]) for y, x in rows for i in range(0, len(x), LINES)]
-    if len({y for y, _ in seqs}) < 2:
+    """Trains on (quality, line features) of documents, at most LINES lines a sequence."""
+    seqs = [(q, x[i : i + LINES]) for q, x in rows for i in range(0, len(x), LINES)]
+    if len({q for q, _ in seqs}) < 2:
         bias = np.zeros((N, 2))
         bias[N - 3, 1] = 1
         return Field(bias, np.zeros((2, 2)), np.zeros(2))
     m, most = len(seqs), max(len(x) for _, x in seqs)
-    x, mask, y = np.zeros((m, most, N), dtype=np.float32), np.zeros((m, most), dtype=bool), np.array([s[0] for s in seqs])
-    for i, (_, f) in enumerate(seqs):
-        x[i, : len(f)], mask[i, : len(f)] = f, True
+    x, mask, q = np.zeros((m, most, N), dtype=np.float32), np.zeros((m, most), dtype=bool), np.array([s[0] for s in seqs])
+    y = np.zeros((m, most), dtype=np.int8)
+    for i, (own, f) in enumerate(seqs):
+        x[i, : len(f)], mask[i, : len(f)], y[i, : len(f)] = f, True, line_labels(own, f)
     params = [np.zeros((N, 2)), np.zeros((2, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    balance = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    kind = np.where(q == 1, np.where((y == 1) | ~mask, 2, 1).min(axis=1), 0)  # all boilerplate, mixed, all content
+    count = np.bincount(kind, minlength=3)
+    balance = (m / np.count_nonzero(count) / np.maximum(count, 1))[kind]
     rng, step, batch = np.random.default_rng(5), 0, 256
     for _ in range(EPOCHS):
         order = rng.permutation(m)
@@ -161,10 +171,10 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> Field:
 
 
 def _gradient(x, mask, y, weight, emission, pair, start):
-    """Of the mean weighted negative log-likelihood of constant label sequences, by forward-backward."""
+    """Of the mean weighted negative log-likelihood of label sequences y (n, lines), by forward-backward."""
     n, most = mask.shape
     most = int(mask.sum(axis=1).max())
-    x, mask = x[:, :most], mask[:, :most]
+    x, mask, y = x[:, :most], mask[:, :most], y[:, :most]
     s = x @ emission
     a, b = np.zeros((n, most, 2)), np.zeros((n, most, 2))
     a[:, 0] = start + s[:, 0]
@@ -178,14 +188,13 @@ def _gradient(x, mask, y, weight, emission, pair, start):
     z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
     w = weight[:, None, None] / n
     post = np.exp(a + b - z[:, None, None]) * mask[..., None]
-    gold = np.eye(2)[y][:, None, :] * mask[..., None]
+    gold = np.eye(2)[y] * mask[..., None]
     diff = (post - gold) * w
     ge = np.einsum("ntf,ntc->fc", x, diff)
     both = mask[:, 1:]
     e = np.exp(a[:, :-1, :, None] + pair + (s + b)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None] * w[..., None]
     gp = e.sum(axis=(0, 1))
-    for c in (0, 1):
-        gp[c, c] -= (both.sum(axis=1) * (y == c) * weight / n).sum()
+    np.subtract.at(gp, (y[:, :-1], y[:, 1:]), both * w[:, 0])
     return ge, gp, diff[:, 0].sum(axis=0)
 
 
