@@ -21,21 +21,50 @@ ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
 MANY = {c: f for c, f in FOLDED.items() if len(f) > 1}
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value computed once for each row."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _class(letters) -> str:
+    """A character class of the letters, by ranges: a class of many single letters is slow."""
+    codes, out = sorted(map(ord, letters)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def fold(text: Column) -> Column:
-    """Full case folding: lower case, then the letters that folding changes beyond that; those that fold
-    to several letters are looked for only in texts that hold one."""
-    low = F.translate(F.lower(text), "".join(ONE), "".join(ONE.values()))
-    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in MANY.items()))
-    spread = F.aggregate(pairs, low, lambda t, p: F.replace(t, p["c"], p["f"]))
-    return F.when(low.rlike(f"[{''.join(MANY)}]"), spread).otherwise(low)
+    """Full case folding: lower case, then the letters that folding changes beyond that. Texts of ASCII or
+    Latin-1 letters alone need few steps; of the letters that fold to several, only those held are replaced."""
+    several = F.create_map(*(F.lit(x) for pair in MANY.items() for x in pair))
+
+    def latin_1(low: Column) -> Column:
+        for c in (c for c in FOLDED if c < "\u0100"):
+            low = F.replace(low, F.lit(c), F.lit(FOLDED[c]))
+        return low
+
+    def beyond(low: Column) -> Column:
+        held = F.array_distinct(F.regexp_extract_all(low, F.lit(_class(MANY)), F.lit(0)))
+        return F.aggregate(held, low, lambda t, c: F.replace(t, c, F.element_at(several, c)))
+
+    ascii_ = lambda low: F.octet_length(low) == F.char_length(low)
+    one = lambda low: F.translate(low, "".join(ONE), "".join(ONE.values()))
+    return _let(F.lower(text), lambda low: F.when(ascii_(low), low).when(~low.rlike(r"[^\x00-\xff]"), latin_1(low)).otherwise(_let(one(low), beyond)))
 
 
 def tokens(text: Column) -> Column:
     """Search terms: Latin words and numbers that are no stop words, then pairs of each CJK run."""
     folded = fold(F.coalesce(text, F.lit("")))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    latin = F.filter(F.regexp_extract_all(folded, F.lit(TERM), 0), lambda t: ~F.array_contains(stop, t))
-    pairs = F.transform(F.regexp_extract_all(folded, F.lit(CJK), 0), lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
+    return _let(folded, _terms)
+
+
+def _terms(folded: Column) -> Column:
+    latin = F.filter(F.regexp_extract_all(folded, F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
+    pairs = F.transform(F.regexp_extract_all(folded, F.lit(CJK), F.lit(0)), lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(latin, F.flatten(pairs))
 
 

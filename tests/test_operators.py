@@ -37,6 +37,38 @@ def test_bm25_orders_and_limits(spark):
         lexical.bm25(chunks, q, k=21)
 
 
+def _shuffles(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_shuffles_counts_once_and_no_pairs(spark):
+    chunks = spark.createDataFrame([(1, 1, "red fox"), (2, 1, "red red fox den")], "chunk_id long, document_id long, text string")
+    q = spark.createDataFrame([(7, "red den")], "query_id long, question string")
+    for scope in ("corpus", "document"):
+        keyed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _shuffles(lexical.bm25(chunks, q, k=1, scope=scope)))
+        assert not any("query_id" in x and "chunk_id" in x for x in keyed), keyed
+    assert [x.split("#")[0] for x in keyed if "document_id" in x] == ["document_id"], keyed
+
+
+def test_texts_of_hits_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([(1, 1, "red fox"), (2, 1, "den")], "chunk_id long, document_id long, text string")
+    hits = spark.createDataFrame([(7, 1, 0.5, 1)], "query_id long, chunk_id long, score double, rank int")
+    with_texts = answering.extractive(hits, chunks)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Exchange hashpartitioning" not in _shuffles(with_texts) and "BroadcastHashJoin" in _shuffles(with_texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(r.chunk_id, r.text) for r in with_texts.collect()] == [(1, "red fox")]
+
+
+def test_fold_replaces_only_letters_that_are_there(spark):
+    plan = spark.range(1).select(F.lit("x").alias("x"))
+    for text in ("Straße µ ÀÉ", "ΑΣ ﬃ ŉ ß ẞ İ µ", "基线 ß", "plain"):
+        assert plan.select(T.fold(F.lit(text)).alias("f")).first().f == text.casefold()
+
+
 def test_dense_takes_best_window_and_rejects_zero(spark):
     w = spark.createDataFrame([(0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.2, 0.98])], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<float>")
