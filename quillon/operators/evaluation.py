@@ -13,7 +13,7 @@ def evidence_recall(gold: DataFrame, hits: DataFrame, chunks: DataFrame, by_page
     """gold (query_id, document_id, quote; by_page: page too): share of each question's gold that stands in its
     hits, texts normalised (NFKC, white space)."""
     where = ["document_id", "page"] if by_page else ["document_id"]
-    texts = hits.select("query_id", "chunk_id").join(chunks.select("chunk_id", *where, "text"), "chunk_id").select("query_id", *where, T.normalized(F.col("text")).alias("t"))
+    texts = lexical.texts(hits.select("query_id", "chunk_id"), chunks.select("chunk_id", *where, "text")).select("query_id", *where, T.normalized(F.col("text")).alias("t"))
     g = gold.select("query_id", *where, T.normalized(F.col("quote")).alias("q")).distinct()
     found = g.alias("g").join(texts.alias("t"), ["query_id", *where], "left")
     each = found.groupBy("query_id", *where, "q").agg(F.max(F.coalesce(F.contains("t", "q"), F.lit(False)).cast("double")).alias("hit"))
@@ -89,6 +89,6 @@ def compare_chunkers(chunkers: dict[str, DataFrame], questions: DataFrame, gold:
     """Recall@k of the same questions over several sets of chunks (chunk_id, document_id, text)."""
     out = None
     for name, chunks in chunkers.items():
-        r = evidence_recall(gold, lexical.bm25(chunks, questions, k=k), chunks).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("questions")).select(F.lit(name).alias("chunker"), "recall", "questions")
+        r = evidence_recall(gold, lexical.keep(lexical.bm25(chunks, questions, k=k)), chunks).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("questions")).select(F.lit(name).alias("chunker"), "recall", "questions")
         out = r if out is None else out.unionByName(r)
     return out
