@@ -60,6 +60,11 @@ def _hits(s, d) -> DataFrame:
     return lexical.bm25(_chunks(s, d), _questions(s, d))
 
 
+def _kept(s, d) -> DataFrame:
+    """The hits, for queries that read them and their chunks' texts more than once."""
+    return lexical.keep(_hits(s, d))
+
+
 def _gold(s, d) -> DataFrame:
     """Passages, of any length but blank, that a document's text holds whole, across lines too. Spark
     sends the questions to all documents, or pairs blocks of both where they are many."""
@@ -195,9 +200,9 @@ def _ruled(s, d) -> DataFrame:
     return rows.select("page", "caption", "row", F.posexplode("cells").alias("column", "c")).select("page", "caption", "row", "column", F.col("c.text").alias("text"))
 
 
-def _claims(s, d) -> DataFrame:
+def _claims(s, d, hits) -> DataFrame:
     """Claims made from hits: most quote their chunk, some quote or cite what is not there."""
-    h = answering.extractive(_hits(s, d), _chunks(s, d))
+    h = answering.extractive(hits, _chunks(s, d))
     return h.select("query_id", "claim_no", (F.col("chunk_id") + (F.col("query_id") % 4 == 3).cast("long") * 999983).alias("chunk_id"), F.concat("text", F.when(F.col("query_id") % 4 == 1, " 77").otherwise("")).alias("text"), F.concat("text", F.when(F.col("query_id") % 4 == 2, " not there").otherwise("")).alias("quote"))
 
 
@@ -232,26 +237,26 @@ QUERIES = {
     "maxpool_topk": (lambda s, d: semantic.dense(_windows(s, d), _vector_queries(s, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"), f"WITH {WORDS}, m AS (SELECT query_id, chunk_id, max(greatest(-1, least(1, list_inner_product(v, q)))) AS score FROM u CROSS JOIN qu GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM m) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5"),
     "owner_coverage": (lambda s, d: semantic.uncovered(s.range(0, 3).withColumnRenamed("id", "chunk_id").unionByName(_windows(s, d).select("chunk_id")), _windows(s, d).where("chunk_id > 1")), "SELECT DISTINCT vec_id // 5 AS chunk_id, 'no window' AS fault FROM embeddings WHERE vec_id // 5 <= 1"),
     "rrf_fusion": (lambda s, d: semantic.fuse(semantic.dense(_windows(s, d), _vector_queries(s, d), k=20), semantic.dense(_windows(s, d), _vector_queries(s, d).join(_vector_partners(s, d), "query_id").select(F.col("partner").alias("query_id"), "embedding"), k=20)).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "rank"), f"WITH {WORDS}, partners AS (SELECT vec_id AS query_id, max(vec_id) OVER () - vec_id AS partner FROM embeddings WHERE vec_id % 20 = 0), m AS (SELECT query_id, chunk_id, max(greatest(-1, least(1, list_inner_product(v, q)))) AS score FROM u CROSS JOIN qu GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM m), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM k WHERE rank <= 20 UNION ALL SELECT partner, chunk_id, rank FROM k JOIN partners USING (query_id) WHERE rank <= 20) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id)::INT AS rank FROM f) SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM o WHERE rank <= 5"),
-    "extractive_claims": (lambda s, d: answering.extractive(_hits(s, d), _chunks(s, d)).select("query_id", "claim_no", "chunk_id", "text"), f"{HITS} SELECT query_id, rank::INT AS claim_no, chunk_id, text FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 3"),
+    "extractive_claims": (lambda s, d: answering.extractive(_kept(s, d), _chunks(s, d)).select("query_id", "claim_no", "chunk_id", "text"), f"{HITS} SELECT query_id, rank::INT AS claim_no, chunk_id, text FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 3"),
     "no_hit_abstain": (lambda s, d: answering.without_hits(_questions(s, d).unionByName(s.createDataFrame([(-1, "xylophonic biodiversity")], "query_id long, question string")), _hits(s, d)), f"{HITS} SELECT query_id, true AS abstain, 'no evidence was found' AS reason FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) WHERE query_id NOT IN (SELECT query_id FROM hits)"),
-    "evidence_budget": (lambda s, d: answering.evidence_size(_hits(s, d), _chunks(s, d), 3000), f"{HITS} SELECT query_id, sum(length(text))::BIGINT AS chars, sum(length(text)) <= 3000 AS fits FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id"),
-    "answer_verdict": (lambda s, d: answering.validate(_claims(s, d), _hits(s, d), _chunks(s, d)), f"{HITS}, c AS (SELECT query_id, rank::INT AS claim_no, h.chunk_id + CASE WHEN query_id % 4 = 3 THEN 999983 ELSE 0 END AS chunk_id, {_col('text')} || CASE WHEN query_id % 4 = 1 THEN ' 77' ELSE '' END AS said, {_col('text')} || CASE WHEN query_id % 4 = 2 THEN ' not there' ELSE '' END AS quote FROM hits h JOIN chunks USING (chunk_id) WHERE rank <= 3), s AS (SELECT hits.query_id, chunk_id, {_col('text')} AS source FROM hits JOIN chunks USING (chunk_id)), j AS (SELECT c.query_id, claim_no, CASE WHEN source IS NULL THEN 'unknown citation' WHEN NOT contains(source, quote) THEN 'quote not in source' WHEN query_id % 4 = 1 AND NOT regexp_matches(quote, '(^|[^A-Za-z0-9.])77($|[^0-9.%])') THEN 'number not in quote' END AS why FROM c LEFT JOIN s USING (query_id, chunk_id)) SELECT query_id, bool_and(why IS NULL) AS valid, arg_min(why, CASE WHEN why IS NOT NULL THEN claim_no END) AS reason FROM j GROUP BY query_id"),
-    "answers": (lambda s, d: answering.assemble(_questions(s, d).unionByName(s.createDataFrame([(-1, "xylophonic biodiversity")], "query_id long, question string")), _hits(s, d), _chunks(s, d)).select("query_id", "abstain", "reason", "verification", "validation_failed", F.size("claims").alias("claims"), F.size("hits").alias("hits"), F.col("hits")[0]["score"].alias("best")), f"{HITS} SELECT q.query_id, count(chunk_id) = 0 AS abstain, CASE WHEN count(chunk_id) = 0 THEN 'no evidence was found' ELSE 'the evidence is quoted' END AS reason, CASE WHEN count(chunk_id) > 0 THEN 'quote-provenance-only' END AS verification, false AS validation_failed, least(count(chunk_id), 3)::INT AS claims, nullif(count(chunk_id), 0)::INT AS hits, round(max(score), 4) AS best FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) q LEFT JOIN hits USING (query_id) GROUP BY q.query_id"),
-    "evidence_recall": (lambda s, d: evaluation.evidence_recall(_gold(s, d), _hits(s, d), _chunks(s, d)).select("query_id", F.round("recall", 6).alias("recall"), "n_gold"), f"{RECALL} SELECT query_id, round(recall, 6) AS recall, n_gold FROM rec"),
-    "recall_summary": (lambda s, d: evaluation.summary(evaluation.evidence_recall(_gold(s, d), _hits(s, d), _chunks(s, d)), _questions(s, d).select("query_id", (F.col("query_id") % 2).alias("grp")), "grp"), f"{RECALL} SELECT query_id % 2 AS grp, round(avg(recall), 6) AS recall, count(*) AS questions FROM rec GROUP BY GROUPING SETS ((query_id % 2), ())"),
+    "evidence_budget": (lambda s, d: answering.evidence_size(_kept(s, d), _chunks(s, d), 3000), f"{HITS} SELECT query_id, sum(length(text))::BIGINT AS chars, sum(length(text)) <= 3000 AS fits FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id"),
+    "answer_verdict": (lambda s, d: (lambda hits: answering.validate(_claims(s, d, hits), hits, _chunks(s, d)))(_kept(s, d)), f"{HITS}, c AS (SELECT query_id, rank::INT AS claim_no, h.chunk_id + CASE WHEN query_id % 4 = 3 THEN 999983 ELSE 0 END AS chunk_id, {_col('text')} || CASE WHEN query_id % 4 = 1 THEN ' 77' ELSE '' END AS said, {_col('text')} || CASE WHEN query_id % 4 = 2 THEN ' not there' ELSE '' END AS quote FROM hits h JOIN chunks USING (chunk_id) WHERE rank <= 3), s AS (SELECT hits.query_id, chunk_id, {_col('text')} AS source FROM hits JOIN chunks USING (chunk_id)), j AS (SELECT c.query_id, claim_no, CASE WHEN source IS NULL THEN 'unknown citation' WHEN NOT contains(source, quote) THEN 'quote not in source' WHEN query_id % 4 = 1 AND NOT regexp_matches(quote, '(^|[^A-Za-z0-9.])77($|[^0-9.%])') THEN 'number not in quote' END AS why FROM c LEFT JOIN s USING (query_id, chunk_id)) SELECT query_id, bool_and(why IS NULL) AS valid, arg_min(why, CASE WHEN why IS NOT NULL THEN claim_no END) AS reason FROM j GROUP BY query_id"),
+    "answers": (lambda s, d: answering.assemble(_questions(s, d).unionByName(s.createDataFrame([(-1, "xylophonic biodiversity")], "query_id long, question string")), _kept(s, d), _chunks(s, d)).select("query_id", "abstain", "reason", "verification", "validation_failed", F.size("claims").alias("claims"), F.size("hits").alias("hits"), F.col("hits")[0]["score"].alias("best")), f"{HITS} SELECT q.query_id, count(chunk_id) = 0 AS abstain, CASE WHEN count(chunk_id) = 0 THEN 'no evidence was found' ELSE 'the evidence is quoted' END AS reason, CASE WHEN count(chunk_id) > 0 THEN 'quote-provenance-only' END AS verification, false AS validation_failed, least(count(chunk_id), 3)::INT AS claims, nullif(count(chunk_id), 0)::INT AS hits, round(max(score), 4) AS best FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) q LEFT JOIN hits USING (query_id) GROUP BY q.query_id"),
+    "evidence_recall": (lambda s, d: evaluation.evidence_recall(_gold(s, d), _kept(s, d), _chunks(s, d)).select("query_id", F.round("recall", 6).alias("recall"), "n_gold"), f"{RECALL} SELECT query_id, round(recall, 6) AS recall, n_gold FROM rec"),
+    "recall_summary": (lambda s, d: evaluation.summary(evaluation.evidence_recall(_gold(s, d), _kept(s, d), _chunks(s, d)), _questions(s, d).select("query_id", (F.col("query_id") % 2).alias("grp")), "grp"), f"{RECALL} SELECT query_id % 2 AS grp, round(avg(recall), 6) AS recall, count(*) AS questions FROM rec GROUP BY GROUPING SETS ((query_id % 2), ())"),
     "interval_union": (lambda s, d: layout.merge_intervals(_intervals(s, d), "supplier"), "WITH i AS (SELECT l_suppkey AS supplier, l_partkey AS l, l_partkey + l_quantity::BIGINT AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY supplier ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), n AS (SELECT *, sum(CASE WHEN reach IS NULL OR l > reach THEN 1 ELSE 0 END) OVER (PARTITION BY supplier ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT supplier, min(l) AS \"left\", max(r) AS \"right\" FROM n GROUP BY supplier, island"),
     "box_overlap": (lambda s, d: _boxes(s, d).select("l_orderkey", "l_linenumber", F.round(layout.overlap(F.col("a"), F.col("b")), 6).alias("share"), layout.contains_center(F.col("a"), F.col("b")).alias("inside")), f"SELECT l_orderkey, l_linenumber, round((greatest(0, least(a2, b2) - greatest(a0, b0)) * greatest(0, least(a3, b3) - greatest(a1, b1)) / greatest(1, least((a2 - a0) * (a3 - a1), (b2 - b0) * (b3 - b1))))::DOUBLE, 6) AS share, (b0 + b2) / 2 BETWEEN a0 - 1 AND a2 + 1 AND (b1 + b3) / 2 BETWEEN a1 - 1 AND a3 + 1 AS inside FROM {BOXES}"),
     "word_segmentation": (lambda s, d: layout.words_of(layout.lines_of(_glyphs(s, d), *layout.PAGE)).select("document_id", "line", "word", "text"), "SELECT p_partkey AS document_id, line::INT AS line, generate_subscripts(ws, 1)::INT AS word, unnest(ws) AS text FROM (SELECT p_partkey, 1 AS line, string_split(p_name, ' ') AS ws FROM part UNION ALL SELECT p_partkey, 2, string_split(p_type, ' ') FROM part)"),
     "reading_order": (lambda s, d: layout.reading_order(_objects(s, d), s.range(0, 1 << 20, 2).select(F.lit(0).alias("document_id"), F.col("id").alias("page"), F.lit(300.0).alias("gutter"))).select("page", "object_id", "position", "flow"), f"WITH o AS (SELECT *, CASE WHEN page % 2 = 1 THEN 'single' WHEN x0 < 300 AND x1 > 300 THEN 'wide' WHEN x0 < 300 THEN 'left' ELSE 'right' END AS side FROM {OBJECTS}), w AS (SELECT *, row_number() OVER (PARTITION BY page, side ORDER BY top, object_id) AS nth FROM o), b AS (SELECT w.*, CASE side WHEN 'single' THEN 0 WHEN 'wide' THEN nth - 1 ELSE (SELECT count(*) FROM w v WHERE v.page = w.page AND v.side = 'wide' AND v.top <= w.top + 5) END AS band FROM w) SELECT page, object_id, row_number() OVER (PARTITION BY page ORDER BY band, CASE side WHEN 'left' THEN 0 WHEN 'right' THEN 1 ELSE 2 END, top, CASE WHEN side = 'single' THEN x0 END, object_id)::INT AS position, CASE side WHEN 'single' THEN 'single' ELSE 'band' || band || '-' || side END AS flow FROM b"),
     "unanswerable_probe": (lambda s, d: evaluation.candidates(_questions(s, d).unionByName(s.createDataFrame([(-1, "xylophonic biodiversity")], "query_id long, question string")), _hits(s, d)), f"{HITS} SELECT query_id, count(chunk_id) AS candidates FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) LEFT JOIN hits USING (query_id) GROUP BY query_id"),
-    "prompt_payload": (lambda s, d: answering.prompts(_questions(s, d), _hits(s, d), _chunks(s, d)), f"{HITS} SELECT item_id AS query_id, to_json(struct_pack(question := any_value(b.text), evidence := list(struct_pack(chunk_id := chunk_id, text := c.text) ORDER BY rank)))::VARCHAR AS payload FROM benchmark b JOIN hits ON query_id = item_id JOIN chunks c USING (chunk_id) GROUP BY item_id"),
+    "prompt_payload": (lambda s, d: answering.prompts(_questions(s, d), _kept(s, d), _chunks(s, d)), f"{HITS} SELECT item_id AS query_id, to_json(struct_pack(question := any_value(b.text), evidence := list(struct_pack(chunk_id := chunk_id, text := c.text) ORDER BY rank)))::VARCHAR AS payload FROM benchmark b JOIN hits ON query_id = item_id JOIN chunks c USING (chunk_id) GROUP BY item_id"),
     "evidence_availability": (lambda s, d: evaluation.availability(_gold(s, d).unionByName(_gold(s, d).withColumn("document_id", F.col("document_id") + F.col("query_id") % 2)), _chunks(s, d)), f"WITH {LINES}, {GOLD}, g AS (SELECT DISTINCT query_id, document_id, {_col('quote')} AS q FROM (FROM gold UNION ALL SELECT query_id, document_id + query_id % 2, quote FROM gold)), e AS (SELECT g.query_id, g.document_id, g.q, count(c.text) AS n FROM g LEFT JOIN chunks c ON c.document_id = g.document_id AND contains({_col('c.text')}, g.q) GROUP BY ALL) SELECT query_id, bool_and(n > 0) AS available, count(*) AS n_gold FROM e GROUP BY query_id"),
     "table_value_claims": (lambda s, d: answering.table_values(_tables(s, d).select("chunk_id", F.posexplode("rows").alias("row", "r")).where("row >= 1").select("chunk_id", "row", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("column")), _tables(s, d)).select("chunk_id", "row", "column", "value", "claim", "valid"), "WITH p AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_partkey // 300, p_type) AS same, p_brand || '/' || (p_partkey // 300) AS brand, row_number() OVER (PARTITION BY p_brand, p_partkey // 300 ORDER BY p_partkey)::INT AS \"row\" FROM part) SELECT brand AS chunk_id, \"row\", c AS \"column\", CASE c WHEN 1 THEN p_name WHEN 2 THEN CASE WHEN p_partkey % 5 <> 0 THEN p_size::VARCHAR END END AS value, CASE WHEN c = 1 THEN p_type || ' · Name：' || p_name WHEN c = 2 AND p_partkey % 5 <> 0 THEN p_type || CASE WHEN same > 1 THEN ' / Name=' || p_name ELSE '' END || ' · Size：' || p_size END AS claim, c = 1 OR (c = 2 AND p_partkey % 5 <> 0) AS valid FROM p CROSS JOIN (VALUES (1), (2), (3)) AS v(c)"),
     "markdown_parse": (lambda s, d: _tables(s, d).select("chunk_id", F.explode(F.slice(T.parse_markdown(T.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"])))), 2, F.size("rows"))).alias("r")).select("chunk_id", F.col("r")[0].alias("type"), F.col("r")[1].alias("name"), F.col("r")[2].alias("size")), "SELECT p_brand || '/' || (p_partkey // 300) AS chunk_id, p_type AS type, p_name AS name, p_size::VARCHAR AS size FROM part"),
     "table_parts": (lambda s, d: chunking.table_parts(_tables(s, d).select(F.col("chunk_id").alias("id"), T.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"]))).alias("text"), F.lit("Table 1. Parts").alias("caption"), "rows"), 400).select("id", "part", "text"), TABLE_PARTS),
     "token_windows": (lambda s, d: chunking.token_windows(_read(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.split(F.coalesce("text", F.lit("")), " ", -1).alias("tokens"))).select("chunk_id", "window_no", F.array_join("tokens", " ").alias("text")), "WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS a FROM documents), w AS (SELECT doc_id, a, unnest(range(greatest(ceil((len(a) - 64) / 384), 1)::BIGINT)) AS n FROM t) SELECT doc_id AS chunk_id, n::INT AS window_no, array_to_string(a[n * 384 + 1 : n * 384 + 448], ' ') AS text FROM w"),
     "corpus_fingerprint": (lambda s, d: semantic.fingerprint(_chunks(s, d), "e5|", "document_id"), f"WITH {LINES}, h AS (SELECT document_id, sha256(chunk_id::VARCHAR || '|' || text) AS h FROM chunks) SELECT document_id, sha256('e5|' || string_agg(h, '' ORDER BY h)) AS fingerprint FROM h GROUP BY document_id"),
-    "chunker_comparison": (lambda s, d: evaluation.compare_chunkers({"lines": _chunks(s, d), "sections": chunking.pack(_sections(s, d)).select((F.col("document_id") * 1000000 + F.col("chunk_no")).alias("chunk_id"), "document_id", "text"), "windows": chunking.fixed_windows(_sections(s, d)).select((F.col("document_id") * 1000000000 + F.col("page") * 1000000 + F.col("start")).alias("chunk_id"), "document_id", "text")}, _questions(s, d), _gold(s, d)), None),
+    "chunker_comparison": (lambda s, d: evaluation.compare_chunkers({"lines": _chunks(s, d), "sections": chunking.pack(_sections(s, d)).select((F.col("document_id") * 1000000 + F.col("chunk_no")).alias("chunk_id"), "document_id", "text"), "windows": chunking.fixed_windows(_sections(s, d)).select((F.col("document_id") * 1000000000 + F.col("page") * 1000000 + F.col("start")).alias("chunk_id"), "document_id", "text")}, _questions(s, d), cut(_gold(s, d))), None),
     "gutter_detection": (lambda s, d: layout.gutters(_gutter_words(s, d), 612.0).select("page", "gutter"), "SELECT s_suppkey AS page, (286 + 309 + s_suppkey % 20) / 2 AS gutter FROM supplier WHERE s_suppkey % 4 + 5 >= 6"),
     "ruled_tables": (_ruled, "WITH p AS (SELECT p_partkey // 20 AS page, p_partkey % 20 + 1 AS row, string_split(p_type, ' ') AS t, p_size, p_partkey FROM part), pages AS (SELECT page, 'Table ' || page || '.' AS caption FROM p GROUP BY page HAVING count(*) >= 2), r AS (SELECT page, (row_number() OVER (PARTITION BY page ORDER BY row))::INT AS row, [t[1] || ' ' || t[-1], p_size::VARCHAR, p_partkey::VARCHAR] AS cells FROM p UNION ALL SELECT page, 0, ['Type', 'Size', 'Key'] FROM pages) SELECT page, caption, row, (generate_subscripts(cells, 1) - 1)::INT AS \"column\", unnest(cells) AS text FROM r JOIN pages USING (page)"),
 }
